@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltworks.llm.mixing import clean_source, draw_plan, systematic_copies
+from siltworks.llm.packing import fill_report, items_of, pack
+from siltworks.llm.tokens import token_count
 from siltworks.llm.topn import top_n_per_group
-from siltworks.session import table
+from siltworks.session import materialize, table, widen
 
 #: The rank of each severity word.
 SEVERITY_RANK = {"critical": 5, "high": 4, "error": 4, "medium": 3, "warning": 3, "low": 2, "info": 1, "note": 1}
@@ -54,8 +57,51 @@ SELECT finding_id FROM r WHERE k <= 5
 """
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, or piece of a text above the capacity, with its bin, for each kind of container."""
+    containers = [(r["container"], r["capacity_tokens"]) for r in table(spark, sf_dir, "containers").limit(1000).collect()]
+    return pack(materialize(items_of(table(spark, sf_dir, "documents"), containers)))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many bins each kind of container takes, and how full they are."""
+    return fill_report(p6_packed(spark, sf_dir))
+
+
+def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The documents drawn for every mixture with their copies, and the plan they were drawn by."""
+    docs = widen(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = materialize(docs.select("doc_id", clean_source(F.col("source")).alias("source"), F.coalesce(token_count(F.col("text")), F.lit(0)).alias("tokens")))
+    sizes = docs.groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.col("tokens").cast("bigint")).alias("tokens"))
+    plan = materialize(draw_plan(sizes, table(spark, sf_dir, "mixtures"), table(spark, sf_dir, "mix_targets")))
+    offered = docs.join(plan.select("mixture", "source", "expected"), "source")
+    return systematic_copies(offered, ["mixture", "source"], "expected", [F.col("tokens"), F.xxhash64("doc_id")], size="tokens"), plan
+
+
+def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of every mixture, one row per copy."""
+    drawn, _ = _drawn(spark, sf_dir)
+    return drawn.select("mixture", "source", "doc_id", "tokens", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per mixture and source: the share wanted and the share really reached, of the wanted and of the drawn total."""
+    drawn, plan = _drawn(spark, sf_dir)
+    got = drawn.groupBy("mixture", "source").agg(
+        F.sum(F.col("copies") * F.col("tokens")).alias("drawn_tokens"), F.count("*").alias("drawn_docs"), F.max("copies").alias("most_copies")
+    )
+    rows = plan.join(got, ["mixture", "source"], "left").fillna(0, ["drawn_tokens", "drawn_docs", "most_copies"])
+    total = Window.partitionBy("mixture")
+    return rows.select(
+        "mixture", "source", "target_share", "max_repeats", F.col("docs").alias("source_docs"), F.col("tokens").alias("source_tokens"),
+        F.round("wanted_tokens", 0).cast("bigint").alias("wanted_tokens"), "drawn_tokens", "drawn_docs", "most_copies",
+        F.round(F.col("drawn_tokens") * F.col("target_share") / F.col("wanted_tokens"), 6).alias("share_of_wanted_total"),
+        F.round(F.col("drawn_tokens") / F.sum("drawn_tokens").over(total), 6).alias("share_of_drawn_total"),
+    )
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
 
 
 def oracle_sql() -> dict:
