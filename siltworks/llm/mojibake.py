@@ -22,11 +22,12 @@ from siltworks.session import widen
 
 #: Encodings that text is often read with by mistake, and encodings that were meant instead.
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1254", "cp1253", "cp1257", "iso8859_2", "iso8859_15", "koi8_r", "cp866", "gbk", "big5", "shift_jis", "euc_kr")
-MEANT = ("cp1251", "koi8_r", "cp866", "shift_jis", "gbk", "euc_jp", "euc_kr", "big5", "cp1253")
+MEANT = ("cp1251", "koi8_r", "cp866", "shift_jis", "gbk", "euc_jp", "euc_kr", "big5")
 _MEANT_BY = {"cp1252": MEANT, "latin-1": MEANT, "mac_roman": MEANT[:5], "cp437": MEANT[:3], "cp850": MEANT[:3], "cp1251": MEANT[1:5], "koi8_r": ("cp1251", "cp866"), "cp866": ("cp1251", "koi8_r"), "cp1250": MEANT[:5]}
-#: Fixed value: the letters that make up most of Russian text.
-_OFTEN = frozenset("оеаинтсрвлкмдпуёя")
+#: Fixed value: the letters that are rare in Russian text.
+_SELDOM = frozenset("ъщэфцхю")
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+_BLANKED = re.compile(rb"([\xc2-\xdf]) ")
 _HIGH = re.compile(r"[^\x00-\x7f]")
 _LOST = re.compile(r"(?<=\w)�|�(?=\w)")
 
@@ -46,6 +47,8 @@ def _bytes_of(encoding: str) -> dict[str, bytes]:
 
 def encode(text: str, encoding: str) -> bytes | None:
     if encoding in ("gbk", "big5", "shift_jis", "euc_kr"):
+        if "¥" in text or "‾" in text:  # which some of these fold into ASCII
+            return None
         try:
             return text.encode(encoding)
         except UnicodeEncodeError:
@@ -106,11 +109,11 @@ def cost(text: str) -> float:
             if kind == "lost":
                 total += 2.0
             elif kind == "control":
-                total += 3.0
+                total += 1.0
             elif kind == "half":
                 total += 1.0
             elif kind == "sign":
-                drawn = "─" <= ch <= "╿" or ch == before
+                drawn = ch in "─═│║" or ch == before
                 total += 0.5 if prev in (("LATIN", "CYRILLIC", "east") if drawn else ("LATIN", "sign", "CYRILLIC", "east")) and ch not in "’”»›…—–" else 0.0
             elif kind == "LATIN":
                 if ch.isupper() and before.islower():
@@ -131,7 +134,7 @@ def cost(text: str) -> float:
                 if ch.isupper() and before.islower():
                     total += 1.0
                 if kind == "CYRILLIC":
-                    total += 0.5 if ch > "џ" or ch in "ЂЃѓЉЊЌЋЏђљњќћџЎўЈҐѕјЅ" else 0.0 if ch.lower() in _OFTEN else 0.25
+                    total += 0.5 if ch > "џ" or ch in "ЂЃѓЉЊЌЋЏђљњќћџЎўЈҐѕјЅ" else 0.25 if ch.lower() in _SELDOM else 0.0
                     if ch.isupper() and prev == "CYRILLIC":
                         total += 0.15
             if kind != "LATIN":
@@ -145,11 +148,12 @@ def _excess(text: str) -> float:
     return cost(text) - 0.5 * sum(c >= "\x80" for c in text)
 
 
-def undo_layer(text: str) -> tuple[str, bool] | None:
+def undo_layer(text: str, legacy: bool = True) -> tuple[str, bool] | None:
     """One layer of wrong decoding taken off: the text, and whether it is whole. None if no candidate lowers the cost.
 
     Text meant as UTF-8 comes first, since chance hardly decodes strictly; then UTF-8 of which bytes are gone;
-    then text meant in another legacy encoding, which must lose most of its cost.
+    then text meant in another `legacy` encoding, which must lose most of its cost. A no-break space within a
+    sequence counts also if it has become a blank.
     """
     now = cost(text)
     raws: dict[bytes, str] = {}
@@ -159,10 +163,10 @@ def undo_layer(text: str) -> tuple[str, bool] | None:
     best: tuple[float, str] | None = None
     for raw in raws:
         try:
-            out = raw.decode("utf-8")
+            out = _BLANKED.sub(lambda m: m[1] + b"\xa0", raw).decode("utf-8")
         except UnicodeDecodeError:
             continue
-        if (c := cost(out)) < now - 0.4 and (best is None or c < best[0]):
+        if (c := cost(out)) < now - 0.2 and (best is None or c < best[0]):
             best = (c, out)
     if best:
         return best[1], True
@@ -178,7 +182,7 @@ def undo_layer(text: str) -> tuple[str, bool] | None:
     if best:
         return best[1], False
     excess = _excess(text)
-    if excess < 1.5:
+    if not legacy or excess < 1.5:
         return None
     for wrong, intended in _MEANT_BY.items():
         if (raw := encode(text, wrong)) is None:
@@ -195,11 +199,11 @@ def undo_layer(text: str) -> tuple[str, bool] | None:
     return (best[1], True) if best else None
 
 
-def repair(text: str, layers: int = 4) -> tuple[str, int, bool]:
+def repair(text: str, layers: int = 4, legacy: bool = True) -> tuple[str, int, bool]:
     """A piece after all layers: the text, how many were undone, and whether nothing was lost."""
     whole, n = True, 0
     out = text
-    while n < layers and _HIGH.search(out) and (step := undo_layer(out)):
+    while n < layers and _HIGH.search(out) and (step := undo_layer(out, legacy)):
         out, n, whole = step[0], n + 1, whole and step[1]
         if not whole:
             break
@@ -216,7 +220,7 @@ def repair_line(line: str) -> tuple[str, int, int]:
         return line[: len(line) - len(core)] + out, 1, 1
     pieces, garbled, restored = [], 0, 0
     for word in re.split(r"(\s+)", line):
-        fixed, k, ok = repair(word) if _HIGH.search(word) and not word.startswith("﻿") else (word, 0, True)
+        fixed, k, ok = repair(word, legacy=False) if _HIGH.search(word) and not word.startswith("﻿") else (word, 0, True)
         lost = bool(_LOST.search(word))
         garbled += bool(k) or lost
         restored += bool(k) and ok and not lost
