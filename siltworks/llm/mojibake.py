@@ -27,6 +27,7 @@ _MEANT_BY = {"cp1252": MEANT, "latin-1": MEANT, "mac_roman": MEANT[:5], "cp437":
 #: Fixed value: the letters that are rare in Russian text.
 _SELDOM = frozenset("ъщэфцхю")
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+_NUMBERED = re.compile(r"&#(?:(\d{3,6})|[xX]([0-9a-fA-F]{2,5}));")
 _BLANKED = re.compile(rb"([\xc2-\xdf]) ")
 _HIGH = re.compile(r"[^\x00-\x7f]")
 _LOST = re.compile(r"(?<=\w)�|�(?=\w)")
@@ -210,8 +211,19 @@ def repair(text: str, layers: int = 4, legacy: bool = True) -> tuple[str, int, b
     return (out if whole else text), n, whole and not _LOST.search(out)
 
 
+def _character(m: re.Match) -> str:
+    n = int(m[1]) if m[1] else int(m[2], 16)
+    return chr(n) if 0x80 <= n <= 0x10FFFF and not 0xD800 <= n < 0xE000 else m[0]
+
+
 def repair_line(line: str) -> tuple[str, int, int]:
-    """A line: its text with what could be restored, the garbled pieces in it, and those that were restored."""
+    """A line: its text with what could be restored, the garbled pieces in it, and those that were restored.
+
+    Characters written as numbers (``&#233;``) are read as what they stand for, and written so again.
+    """
+    if "&#" in line and (plain := _NUMBERED.sub(_character, line)) != line:
+        out, garbled, restored = repair_line(plain)
+        return ("".join(c if c < "\x80" else f"&#{ord(c)};" for c in out) if garbled else line), garbled, restored
     if not _HIGH.search(line):
         return line, 0, 0
     core = line.lstrip("﻿")
@@ -232,12 +244,12 @@ def repair_line(line: str) -> tuple[str, int, int]:
 
 def repair_text(text: str | None) -> tuple[str | None, int, int]:
     """A text of any length, line by line."""
-    if text is None or text.isascii():
+    if text is None or (text.isascii() and "&#" not in text):
         return text, 0, 0
     garbled = restored = 0
     lines = text.split("\n")
     for i, line in enumerate(lines):
-        if not line.isascii():
+        if not line.isascii() or "&#" in line:
             lines[i], g, r = repair_line(line)
             garbled, restored = garbled + g, restored + r
     return "\n".join(lines), garbled, restored
@@ -257,6 +269,6 @@ def repair_encoding(df: DataFrame, text: str) -> DataFrame:
             yield pd.DataFrame([repair_text(t) for t in s], columns=["repaired", "garbled_pieces", "restored_pieces"])
 
     new = ("repaired", "garbled_pieces", "restored_pieces")
-    rows = widen(df.where(F.col(text).rlike(r"[^\x00-\x7F]")))
+    rows = widen(df.where(F.col(text).rlike(r"[^\x00-\x7F]|&#[0-9xX]")))
     rows = rows.withColumn("__fix", fix(F.col(text)))
     return rows.where(F.col("__fix.garbled_pieces") > 0).select(*[c for c in df.columns if c not in new], *[F.col(f"__fix.{c}") for c in new])

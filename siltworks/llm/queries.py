@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltworks.llm.credentials import find_credentials, redact
 from siltworks.llm.mixing import clean_source, draw_plan, systematic_copies
+from siltworks.llm.mojibake import repair_encoding
 from siltworks.llm.packing import fill_report, items_of, pack
 from siltworks.llm.tokens import token_count
 from siltworks.llm.topn import top_n_per_group
@@ -57,6 +59,34 @@ SELECT finding_id FROM r WHERE k <= 5
 """
 
 
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files with garbled text, and their text as far as it could be restored."""
+    files = table(spark, sf_dir, "loaded_files").select("file_id", "repo", "path", "content")
+    return repair_encoding(files, "content").drop("content")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_encoding(table(spark, sf_dir, "loaded_files").select("file_id", "content"), "content").select("file_id")
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and questions as (src, rec_id, owner, text)."""
+    files = table(spark, sf_dir, "loaded_files").select(F.lit("loaded_files").alias("src"), F.col("file_id").alias("rec_id"), F.col("repo").alias("owner"), F.col("content").alias("text"))
+    leaves = table(spark, sf_dir, "leaf_definitions").select(F.lit("leaf_definitions").alias("src"), F.col("leaf_key").alias("rec_id"), F.col("repo").alias("owner"), F.col("question").alias("text"))
+    return files.unionByName(leaves)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of files and questions on which a usable credential begins."""
+    return find_credentials(_texts(spark, sf_dir)).select("src", "rec_id", "line_no").distinct()
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files and questions with a credential, with every place of one blanked."""
+    texts = _texts(spark, sf_dir)
+    return redact(texts, find_credentials(texts))
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text, or piece of a text above the capacity, with its bin, for each kind of container."""
     containers = [(r["container"], r["capacity_tokens"]) for r in table(spark, sf_dir, "containers").limit(1000).collect()]
@@ -101,7 +131,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
 
 
 def oracle_sql() -> dict:
