@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltworks.llm.authored import not_typed
 from siltworks.llm.credentials import find_credentials, redact
 from siltworks.llm.mixing import clean_source, draw_plan, systematic_copies
 from siltworks.llm.mojibake import repair_encoding
@@ -59,10 +60,23 @@ SELECT finding_id FROM r WHERE k <= 5
 """
 
 
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "loaded_files").select("file_id", "repo", "path", "content")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that their repository's authors did not type."""
+    return not_typed(_files(spark, sf_dir)).select("file_id")
+
+
+def p2_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those files with what gave them away."""
+    return not_typed(_files(spark, sf_dir)).select("file_id", F.array_join("kinds", ",").alias("kinds"))
+
+
 def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files with garbled text, and their text as far as it could be restored."""
-    files = table(spark, sf_dir, "loaded_files").select("file_id", "repo", "path", "content")
-    return repair_encoding(files, "content").drop("content")
+    return repair_encoding(_files(spark, sf_dir), "content").drop("content")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +145,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_kinds": p2_kinds, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
 
 
 def oracle_sql() -> dict:
