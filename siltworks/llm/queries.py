@@ -10,6 +10,7 @@ from siltworks.llm.credentials import find_credentials, redact
 from siltworks.llm.mixing import clean_source, draw_plan, systematic_copies
 from siltworks.llm.mojibake import repair_encoding
 from siltworks.llm.packing import fill_report, items_of, pack
+from siltworks.llm.subjects import assign, document_words, fit
 from siltworks.llm.tokens import token_count
 from siltworks.llm.topn import top_n_per_group
 from siltworks.session import materialize, table, widen
@@ -144,8 +145,19 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects that each document deals with."""
+    docs = document_words(table(spark, sf_dir, "documents"))
+    return assign(fit(docs, table(spark, sf_dir, "subject_labels").select("doc_id", "subject")), docs)
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per subject over the whole corpus."""
+    return p8_found(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_kinds": p2_kinds, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_kinds": p2_kinds, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
 
 
 def oracle_sql() -> dict:
