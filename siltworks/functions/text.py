@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def lines(text: Column) -> Column:
     """The lines of a text, which LF, CRLF and CR end; a last line break begins no further line, '' has none."""
-    body = F.regexp_replace(text, r"(\r\n|\n|\r)$", "")
+    body = F.regexp_replace(text, r"(\r\n|\n|\r)\z", "")
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(body, r"\r\n|\n|\r"))
 
 
