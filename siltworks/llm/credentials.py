@@ -95,9 +95,9 @@ def usable(value: str, name: str = "") -> bool:
 
 
 def _jumbled(v: str) -> bool:
-    """Letters whose case changes as in no words joined together."""
-    turns = sum(a.islower() != b.islower() for a, b in zip(v, v[1:], strict=False))
-    return turns >= 2 and len(v) >= 8 and not re.fullmatch(r"[A-Z]?[a-z]+(?:_?[A-Z][a-z]+)*|[a-z]+(?:[A-Z]{1,5}|[A-Z][a-z]+)*", v)
+    """Letters whose case changes as in no words joined together: pieces of hardly three letters."""
+    pieces = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", v)
+    return len(v) >= 8 and v.lower() != v != v.upper() and len(pieces) >= 3 and len(v) / len(pieces) < 3.2
 
 
 def _mixed(v: str) -> bool:

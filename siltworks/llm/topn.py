@@ -98,7 +98,7 @@ def _waves(stats: DataFrame, most: int) -> list[tuple[float, float | None]]:
     if len(levels) > most:
         cuts = stats.approxQuantile("top", [i / most for i in range(1, most)], 0.01)
         levels = [*sorted({c for c in cuts if c > float("-inf")}, reverse=True), float("-inf")]
-    return list(zip(levels, [None, *levels[:-1]], strict=True))
+    return list(zip(levels, [None, *levels][: len(levels)], strict=True))
 
 
 def _read(wave: DataFrame, schema: StructType, n: int) -> DataFrame:
