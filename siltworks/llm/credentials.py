@@ -59,6 +59,7 @@ _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _NAMED = re.compile(
     r"""([A-Za-z_][\w.\-]*)["'`\])]{0,2}\s*(?:=>|:=|[:=,]|\bto\b|\bwas\b|\|)\s*(?:"((?:[^"\\\n]|\\.){4,})"|'((?:[^'\\\n]|\\.){4,})'|`([^`\n]{4,})`|([^\s"'`,;|<>()\[\]{}]{6,}))"""
 )
+_MORE = re.compile(r"""\s*(?:\+|\.)?\s*["']([^"'\n]{4,})["']""")
 _XML = re.compile(r"<([A-Za-z_][\w.\-]*)>\s*([^<>\s]{6,})\s*</")
 _ATTR = re.compile(r"""(?:key|name)\s*=\s*["']([\w.\-]+)["']\s+value\s*=\s*["']([^"']{6,})["']""", re.I)
 _SQL = re.compile(r"""\(\s*'([\w.\-]+)'\s*,\s*'([^']{6,})'\s*\)""")
@@ -79,7 +80,7 @@ _HEX = re.compile(r"(?:[0-9a-f]{16,}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}
 def usable(value: str, name: str = "") -> bool:
     """Whether a value can be a credential: no stand-in, reference, pattern, path, number, phrase or plain word."""
     v = value.strip()
-    if len(v) < 6 or len(set(v)) < 4 or " " in v or v.isdigit():
+    if len(v) < 6 or len(set(v)) < 4 or " " in v or re.fullmatch(r"[\d.,]+", v):
         return False
     if _STAND_IN.search(v) or _REFERENCE.search(v) or _PATTERN.search(v):
         return False
@@ -160,8 +161,11 @@ def literals_in_line(line: str) -> list[Found]:
                 take(m, 2, "named")
     for m in _NAMED.finditer(line):
         g = next(i for i in (2, 3, 4, 5) if m[i] is not None)
-        if _is_secret(m[1]) and usable(m[g], m[1]) and not (g == 5 and re.fullmatch(r"[a-z_]+", m[g])) and not _BEGIN.search(m[g]):
+        more = _MORE.match(line, m.end()) if g != 5 else None  # a literal in two parts
+        if _is_secret(m[1]) and usable(m[g] + more[1] if more else m[g], m[1]) and not (g == 5 and re.fullmatch(r"[a-z_]+", m[g])) and not _BEGIN.search(m[g]):
             take(m, g, "named")
+            if more:
+                take(more, 1, "named")
     for m in _SAID.finditer(line):
         if usable(m[1]) and (STRUCTURED.match(m[1]) or _HEX.match(m[1]) or (re.search(r"\d", m[1]) and re.search(r"[A-Z]", m[1]) and len(m[1]) >= 16)):
             take(m, 1, "said")
