@@ -107,3 +107,35 @@ def overlap_counts(intervals: DataFrame, keys: Sequence[str], name: str) -> Data
     upto = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = ends.withColumns({"begun": F.sum((F.col("kind") == 1).cast("bigint")).over(upto), "ended": F.sum((F.col("kind") == 3).cast("bigint")).over(upto)})
     return run.groupBy(*keys, name).agg((F.max(F.when(F.col("kind") == 2, F.col("begun"))) - F.max(F.when(F.col("kind") == 0, F.col("ended")))).alias("overlaps"))
+
+
+def schema_search(docs: DataFrame, key: str, text: str, queries: Sequence[str], context: int = 2, per_query: int = 20, most: int = 25, most_chars: int = 2_000) -> DataFrame:
+    """Windows of one text a row that hold the queries, merged twice: within each query, then across them.
+
+    Of each query the first `per_query` windows count. Then windows in order of their start are given out until
+    there are `most` or the next would exceed `most_chars`; the first always comes. A window ends at the text's end.
+    """
+    numbered = file_lines(docs, key, text)
+    found = occurrences(numbered, key, queries)
+    own = Window.partitionBy(key, "query")
+    at = found.select(key, "query", "line_no", F.greatest(F.lit(1), F.col("line_no") - context).alias("start"), (F.col("line_no") + context).alias("end"))
+    first = _merge(at, [key, "query"], 1).withColumn("n", F.row_number().over(own.orderBy("start"))).where(F.col("n") <= per_query)
+    merged = _merge(first.select(key, "query", "start", "end", "matches"), [key], 1)
+    sizes = docs.where(F.col(text).isNotNull()).select(key, F.transform(lines(F.col(text)), F.length).alias("sizes"))
+    w = merged.join(sizes, key).withColumn("end", F.least("end", F.size("sizes")))
+    chars = F.aggregate(F.slice("sizes", F.col("start"), F.col("end") - F.col("start") + 1), F.lit(0), lambda a, x: a + x) + F.col("end") - F.col("start")
+    order = Window.partitionBy(key).orderBy("start")
+    w = w.withColumns({"chars": chars, "place": F.row_number().over(order)})
+    over = F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, 0)) > most_chars
+    stopped = F.max(F.when((F.col("place") > 1) & F.col("over"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return w.withColumn("over", over).withColumn("stopped", stopped).where((F.col("stopped") == 0) & (F.col("place") <= most)).select(key, "place", "start", "end", "matches", "queries", "chars")
+
+
+def _merge(at: DataFrame, keys: Sequence[str], distance: int) -> DataFrame:
+    """Closed intervals merged within keys: start, end, matches, queries (sorted)."""
+    order = Window.partitionBy(*keys).orderBy("start", "end", "query")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = at.withColumn("__new", F.when(before.isNull() | (F.col("start") > before + distance), 1).otherwise(0))
+    island = marked.withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    n = F.sum("matches") if "matches" in at.columns else F.count("*")
+    return island.groupBy(*keys, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end"), n.alias("matches"), F.array_sort(F.collect_set(F.col("query"))).alias("queries")).drop("__island")

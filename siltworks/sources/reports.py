@@ -118,8 +118,107 @@ def parse_junit(reports: DataFrame, body: str = "body") -> DataFrame:
     return rows.select("report_id", F.lit("error").alias("severity"), F.lit("test_failure").alias("rule_id"), F.coalesce("c._classname", F.lit("")).alias("file"), F.lit(0).alias("line"), F.concat_ws(": ", name, F.element_at("bad", 1)["_message"]).alias("message"))
 
 
+def parse_lines(reports: DataFrame, rule: str, most: int | None = None, body: str = "body") -> DataFrame:
+    """Each line with anything in it as a note; of each report the first `most`."""
+    said = F.filter(F.transform(lines(F.col(body)), F.trim), lambda x: x != "")
+    rows = reports.select("report_id", F.explode(said if most is None else F.slice(said, 1, most)).alias("message"))
+    return rows.select("report_id", F.lit("info").alias("severity"), F.lit(rule).alias("rule_id"), F.lit("").alias("file"), F.lit(0).alias("line"), "message")
+
+
+def parse_clang_tidy(reports: DataFrame, body: str = "body") -> DataFrame:
+    """Compiler-style lines; a report without one gives its first 25 lines as notes."""
+    pattern = r"(?i)^(.*?):(\d+):(\d+):\s*(warning|error|note):\s*(.*?)(?:\s*\[([^\]]*)\])?$"
+    rows = reports.select("report_id", F.explode(lines(F.col(body))).alias("l")).select("report_id", F.trim("l").alias("l")).where(F.col("l").rlike(pattern))
+    g = lambda i: F.regexp_extract("l", pattern, i)
+    out = rows.select("report_id", F.lower(g(4)).alias("severity"), F.when(g(6) != "", g(6)).otherwise("clang-tidy").alias("rule_id"), plain(g(1)).alias("file"), F.coalesce(g(2).try_cast("int"), F.lit(0)).alias("line"), g(5).alias("message"))
+    bare = reports.where(~F.exists(F.coalesce(lines(F.col(body)), F.array().cast("array<string>")), lambda l: F.trim(l).rlike(pattern)))
+    return out.unionByName(parse_lines(bare, "clang-tidy", 25, body))
+
+
+def parse_dart(reports: DataFrame, body: str = "body") -> DataFrame:
+    """Lines file|line|column|severity|message|code."""
+    rows = reports.select("report_id", F.explode(lines(F.col(body))).alias("l")).select("report_id", F.split("l", r"\|").alias("p")).where(F.size("p") >= 5)
+    at = lambda i: F.get("p", F.lit(i))
+    return rows.select("report_id", F.lower(F.when(at(3) != "", at(3)).otherwise("info")).alias("severity"), F.lit("dart-analyze").alias("rule_id"), plain(at(0)).alias("file"), F.coalesce(at(1).try_cast("int"), F.lit(0)).alias("line"), F.trim(F.array_join(F.slice("p", 5, 1_000), "|")).alias("message"))
+
+
+def _text(e: Column, *paths: str) -> Column:
+    return F.coalesce(*[F.when(v != "", v) for v in (F.try_variant_get(e, p, "string") for p in paths)])
+
+
+def parse_cargo(reports: DataFrame, body: str = "body") -> DataFrame:
+    """Compiler messages of a build's stream of events, at their first span."""
+    fields = {
+        "severity": lambda e: F.when(F.lower(_text(e, "$.message.level")) == "error", "error").otherwise("warning"),
+        "rule_id": lambda e: F.coalesce(_text(e, "$.message.code.code"), F.lit("rustc")),
+        "file": lambda e: plain(_text(e, "$.message.spans[0].file_name")),
+        "line": lambda e: F.coalesce(F.try_variant_get(e, "$.message.spans[0].line_start", "int"), F.lit(0)),
+        "message": lambda e: F.coalesce(_text(e, "$.message.message"), F.lit("Rust compiler message.")),
+    }
+    return parse_json_lines(reports, lambda e: _text(e, "$.reason") == "compiler-message", fields, body)
+
+
+def parse_govulncheck(reports: DataFrame, body: str = "body") -> DataFrame:
+    """Vulnerabilities named in a stream of events."""
+    keys = ("$.Vuln", "$.vuln", "$.OSV", "$.osv")
+    held = lambda e: F.coalesce(*[F.try_variant_get(e, k, "variant") for k in keys]).isNotNull()
+    fields = {"severity": lambda e: F.lit("high"), "rule_id": lambda e: F.coalesce(_text(e, *keys), F.lit("govuln")), "file": lambda e: F.lit(""), "line": lambda e: F.lit(0), "message": lambda e: F.lit("Go vulnerability reported.")}
+    return parse_json_lines(reports, held, fields, body)
+
+
+def parse_npm_audit(reports: DataFrame, body: str = "body") -> DataFrame:
+    """Vulnerable packages, keyed by name, and advisories of older reports."""
+    rows = reports.select("report_id", F.try_parse_json(body).alias("v")).where("v IS NOT NULL")
+    each = lambda path: rows.select("report_id", F.explode(F.map_entries(F.try_variant_get("v", path, "map<string, variant>"))).alias("x")).select("report_id", F.col("x.key").alias("k"), F.col("x.value").alias("e"))
+    e = F.col("e")
+    via, first = F.try_variant_get(e, "$.via[0]", "string"), lambda *p: _text(e, *p)
+    nested = F.schema_of_variant(F.try_variant_get(e, "$.via[0]", "variant")).startswith("OBJECT")
+    v = each("$.vulnerabilities").select(
+        "report_id", F.lower(F.coalesce(first("$.severity"), F.lit("unknown"))).alias("severity"),
+        F.when(nested, F.coalesce(first("$.via[0].source", "$.via[0].name"), F.lit("advisory"))).otherwise(F.coalesce(via, F.lit("npm-audit"))).alias("rule_id"), F.col("k").alias("file"), F.lit(0).alias("line"),
+        F.when(nested, F.coalesce(first("$.via[0].title", "$.via[0].name"), F.lit("npm advisory"))).otherwise("npm vulnerability").alias("message"),
+    )
+    a = each("$.advisories").select(
+        "report_id", F.lower(F.coalesce(first("$.severity"), F.lit("unknown"))).alias("severity"), F.coalesce(first("$.cve", "$.id", "$.url"), F.lit("advisory")).alias("rule_id"),
+        F.coalesce(first("$.module_name", "$.name"), F.lit("")).alias("file"), F.lit(0).alias("line"), F.coalesce(first("$.title", "$.overview"), F.lit("npm advisory")).alias("message"),
+    )
+    return v.unionByName(a)
+
+
+def _xml(reports: DataFrame, body: str, schema: str) -> Column:
+    return F.from_xml(body, schema, {"mode": "PERMISSIVE"})
+
+
+def _or(c: Column, other: str) -> Column:
+    return F.coalesce(F.when(c != "", c), F.lit(other))
+
+
+def parse_cppcheck(reports: DataFrame, body: str = "body") -> DataFrame:
+    x = _xml(reports, body, "errors struct<error array<struct<_id string, _severity string, _msg string, _verbose string, location array<struct<_file string, _line string>>>>>")
+    rows = reports.select("report_id", F.explode(x["errors"]["error"]).alias("e"))
+    loc = F.get("e.location", F.lit(0))
+    return rows.select("report_id", F.lower(_or(F.col("e._severity"), "warning")).alias("severity"), _or(F.col("e._id"), "cppcheck").alias("rule_id"), plain(loc["_file"]).alias("file"), F.coalesce(loc["_line"].try_cast("int"), F.lit(0)).alias("line"), _or(F.coalesce(F.when(F.col("e._msg") != "", F.col("e._msg")), F.col("e._verbose")), "Cppcheck issue.").alias("message"))
+
+
+def parse_phpcpd(reports: DataFrame, body: str = "body") -> DataFrame:
+    """One note per file of each duplicated block."""
+    x = _xml(reports, body, "duplication array<struct<_lines string, file array<struct<_path string, _line string>>>>")
+    rows = reports.select("report_id", F.explode(x["duplication"]).alias("d")).select("report_id", F.col("d._lines").alias("n"), F.explode("d.file").alias("f"))
+    return rows.select("report_id", F.lit("info").alias("severity"), F.lit("duplication").alias("rule_id"), plain(F.col("f._path")).alias("file"), F.coalesce(F.col("f._line").try_cast("int"), F.lit(0)).alias("line"), F.concat(F.lit("duplicated block lines="), F.coalesce("n", F.lit(""))).alias("message"))
+
+
+def parse_trx(reports: DataFrame, body: str = "body") -> DataFrame:
+    """Failed tests of result files, whatever namespace they name."""
+    bare = F.regexp_replace(F.regexp_replace(F.col(body), r"\s+xmlns(:\w+)?=\"[^\"]*\"", ""), r"<(/?)\w+:", "<$1")
+    x = F.from_xml(bare, "Results struct<UnitTestResult array<struct<_outcome string, _testName string>>>", {"mode": "PERMISSIVE"})
+    rows = reports.select("report_id", F.explode(x["Results"]["UnitTestResult"]).alias("r")).where(F.lower("r._outcome") == "failed")
+    return rows.select("report_id", F.lit("error").alias("severity"), F.lit("test_failure").alias("rule_id"), F.lit("").alias("file"), F.lit(0).alias("line"), F.coalesce("r._testName", F.lit("")).alias("message"))
+
+
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     **{n: (lambda df, f=f: parse_json(df, f)) for n, f in JSON_FORMATS.items()}, "go_test": parse_go_test, "flake8": parse_flake8, "checkstyle": parse_checkstyle, "junit": parse_junit,
+    "gocyclo": lambda df: parse_lines(df, "cyclomatic"), "dupl": lambda df: parse_lines(df, "dup_block", 25), "stdout": lambda df: parse_lines(df, "stdout", 25), "clang_tidy": parse_clang_tidy,
+    "dart_analyze": parse_dart, "cargo": parse_cargo, "govulncheck": parse_govulncheck, "npm_audit": parse_npm_audit, "cppcheck": parse_cppcheck, "phpcpd": parse_phpcpd, "trx": parse_trx,
 }
 
 
