@@ -28,6 +28,8 @@ class Signs:
 
     grammar_ratio: float = 0.42  # start rule and rules, of the tokens: at most this in generated text
     rule_reuse: float = 0.5  # tokens under one rule: at least this in generated text
+    clear_reuse: float = 0.6  # from this reuse on the grammar may be larger, as in short texts
+    clear_ratio: float = 0.6
     least_tokens: int = 100
     number_share: float = 0.33
     literal_share: float = 0.5  # bytes in ASCII words of 24 and more
@@ -39,6 +41,7 @@ class Signs:
 
 
 _KEY_BLOCK = re.compile(rb"-----BEGIN [^\n]*?-----.*?-----END [^\n-]*-----", re.S)
+_NUMBERED = re.compile(rb"&#[xX]?[0-9a-fA-F]{2,6};")
 _PATTERNED = re.compile(r"\.(?:css|xml|html?|svg)$", re.I)
 #: Markup and style sheets repeat their few forms even if typed.
 _FEATURES = "tokens bigint, grammar_ratio double, rule_reuse double, number_share double, literal_share double, escape_share double, letter_share double, blank_share double, line_bytes double, bytes bigint"
@@ -49,6 +52,7 @@ def features(texts: list[str | None]) -> tuple[dict[str, np.ndarray], list[np.nd
     """Of each text the shares that tell, and its rules for comparison with the tokens that each holds."""
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
     raw = [_KEY_BLOCK.sub(b"", r) if b"-----BEGIN" in r else r for r in raw]
+    raw = [_NUMBERED.sub(b"e", r) if b"&#" in r else r for r in raw]
     k, tok = len(raw), tokenize(raw)
     n = np.bincount(tok.text, minlength=k)
     start, rules, reuse, _ = infer(tok.text, tok.hash, k)
@@ -106,7 +110,8 @@ def not_typed(files: DataFrame, signs: Signs = Signs()) -> DataFrame:
     s, c = signs, F.col
     enough = c("tokens") >= s.least_tokens
     kind = {
-        "generated": enough & ~c("patterned") & (c("grammar_ratio") <= s.grammar_ratio) & (c("rule_reuse") >= s.rule_reuse),
+        "generated": enough & ~c("patterned")
+        & (((c("grammar_ratio") <= s.grammar_ratio) & (c("rule_reuse") >= s.rule_reuse)) | ((c("grammar_ratio") <= s.clear_ratio) & (c("rule_reuse") >= s.clear_reuse))),
         "minified": (enough & (c("letter_share") >= s.letter_share)) | ((c("tokens") >= 40) & (c("blank_share") < s.blank_share) & (c("line_bytes") >= 100)),
         "data": (c("bytes") >= s.least_literal_bytes) & ((c("number_share") >= s.number_share) | (c("literal_share") >= s.literal_share) | (c("escape_share") >= s.escape_share)),
         "copied": (c("tokens") >= 40) & (F.coalesce(c("shared_tokens"), F.lit(0)) >= s.shared_share * c("tokens")),

@@ -244,8 +244,8 @@ LEAST_RUN = 4
 
 
 def run_of(literal: str) -> str | None:
-    """The longest run of word characters in a literal, by which its other places are looked for."""
-    best = max(RUN.findall(literal), key=len, default="")
+    """The run of word characters in a literal by which its other places are looked for: the longest that is no plain word."""
+    best = max(RUN.findall(literal), key=lambda r: (not r.isalpha() or r.lower() != r, len(r)) if len(r) >= LEAST_RUN else (False, 0), default="")
     return best if len(best) >= LEAST_RUN else None
 
 
