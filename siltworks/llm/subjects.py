@@ -42,16 +42,18 @@ class Plan:
     #: passes over all documents with a vocabulary word, and the mini-batches that they are done in
     passes: float = 2.0
     steps: int = 60
+    #: documents that a mini-batch has at least, if there are so many
+    least_batch: int = 4000
     top_terms: int = 25
     #: a term is inspected for a topic if its weight there is this many times the mean
     top_share: float = 1.0
     #: labelled documents that must hold a term, and what one subject must have of them, to settle what it is about
-    least_told: int = 4
+    least_told: int = 2
     clear: float = 0.5
     #: labelled documents that tell what terms are about
     most_labelled: int = 50_000
     #: of a topic's labelled weight, what its subject must have
-    purity: float = 0.4
+    purity: float = 0.55
     #: words' worth that a subject must have in a document
     words_worth: float = 0.6
     seed: int = 5
@@ -87,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), background: str
     vectorizer = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=plan.vocabulary, minDF=float(low), maxDF=float(max(low + 1, int(plan.most_share * n)))).fit(docs)
     known = F.array(*[F.lit(w) for w in vectorizer.vocabulary])
     counted = materialize(vectorizer.transform(docs.where(F.arrays_overlap("words", known))).select("counts"))
-    share = min(1.0, max(plan.passes / plan.steps, 200 / max(1, n)))
+    share = min(1.0, max(plan.passes / plan.steps, plan.least_batch / max(1, n)))
     lda = LDA(k=plan.topics, featuresCol="counts", optimizer="online", maxIter=plan.steps, subsamplingRate=share, seed=plan.seed, docConcentration=[0.05], topicConcentration=0.02, learningOffset=8.0, learningDecay=0.6)
     model = lda.fit(counted)
     weight = model.topicsMatrix().toArray()
