@@ -42,7 +42,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = distinct_findings(table(spark, sf_dir, "findings")).select(
         "repo", "file", "severity_rank", F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("rule_id", F.lit("")).alias("rule_id"), "finding_id"
     )
-    best = top_n_per_group(rows, [F.col("repo"), F.col("file")], F.col("severity_rank"), [F.col("line"), F.col("rule_id"), F.col("finding_id")], n=5)
+    best = top_n_per_group(rows, [F.col("repo"), F.col("file")], F.col("severity_rank"), [F.col("line"), F.col("rule_id"), F.col("finding_id")], n=5, keep=["finding_id"])
     return best.select("finding_id")
 
 

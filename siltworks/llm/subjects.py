@@ -104,7 +104,8 @@ def term_subjects(docs: DataFrame, labels: DataFrame, vocabulary: list[str], pla
     At most `most_labelled` label rows are read. A term that no labelled document holds has zeros.
     """
     told = labels.limit(plan.most_labelled).join(docs, "doc_id").select("doc_id", "subject", F.array_distinct("words").alias("words"))
-    rows = told.select("subject", F.explode("words").alias("term")).groupBy("term", "subject").count().collect()
+    known = docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "term string")
+    rows = told.select("subject", F.explode("words").alias("term")).join(known, "term").groupBy("term", "subject").count().collect()
     sizes = {r["subject"]: r["count"] for r in told.groupBy("subject").count().collect()}
     names = sorted(sizes.keys() - {background})
     at, of = {w: i for i, w in enumerate(vocabulary)}, {s: i for i, s in enumerate([*names, background])}

@@ -26,8 +26,8 @@ _G, _H, _S, _T, _P = "__group", "__hash", "__score", "__tie", "__row"
 _STATS = "file string, row_group int, top double, only string, rows bigint"
 
 
-def top_n_per_group(df: DataFrame, groups: Sequence[Column], score: Column, ties: Sequence[Column], n: int = 5, max_waves: int = 8, row_group_bytes: int = 4 << 20) -> DataFrame:
-    """The columns of `df` and `rank` (from 1) for the first n rows of each group.
+def top_n_per_group(df: DataFrame, groups: Sequence[Column], score: Column, ties: Sequence[Column], n: int = 5, keep: Sequence[str] | None = None, max_waves: int = 8, row_group_bytes: int = 4 << 20) -> DataFrame:
+    """The columns of `df`, or those in `keep`, and `rank` (from 1) for the first n rows of each group.
 
     Rows are ordered by `score` descending, then by `ties` ascending (nulls first); rows equal in all of
     these come in any order. A null or NaN score is below every other score. Nulls in group columns equal each
@@ -38,7 +38,7 @@ def top_n_per_group(df: DataFrame, groups: Sequence[Column], score: Column, ties
     if n < 1:
         raise ValueError("n must be at least 1")
     spark = df.sparkSession
-    names = [c for c in df.columns if c != "rank"]
+    names = [c for c in (df.columns if keep is None else keep) if c != "rank"]
     s = score.cast("double")
     order = [F.col(_H), F.col(_G), F.col(_S).desc(), *[F.col(f"{_T}{i}").asc() for i in range(len(ties))]]
     keyed = df.select(
