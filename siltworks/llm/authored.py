@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,14 +74,26 @@ def features(texts: list[str | None]) -> tuple[dict[str, np.ndarray], list[np.nd
     return out, np.split(s.view(np.int64), cuts), np.split(w.astype(np.int32), cuts)
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 512, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of at most so many rows and, unless a single text is longer, bytes of text."""
+    sizes = [n or 0 for n in pc.binary_length(batch.column(3)).to_pylist()]
+    begin = held = 0
+    for i, n in enumerate(sizes):
+        if i > begin and (i - begin == rows or held + n > most_bytes):
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def file_features(files: DataFrame) -> DataFrame:
     """The features and rules of files (file_id, repo, path, content); one pass, no shuffle."""
     names = [c.split()[0] for c in _FEATURES.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 512):
-                batch = big.slice(at, 512)
+            for batch in _slices(big):
                 ids, owners, paths, texts = (c.to_pylist() for c in batch.columns)
                 f, rules, held = features(texts)
                 kinds = [pa.int64(), *[pa.float64()] * 8, pa.int64()]

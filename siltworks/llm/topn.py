@@ -69,6 +69,11 @@ def top_n_per_group(df: DataFrame, groups: Sequence[Column], score: Column, ties
     return top.select(*[F.col(f"{_P}.c{i}").alias(c) for i, c in enumerate(names)], "rank")
 
 
+def _file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system and path of a URI as Spark names it."""
+    return pyarrow.fs.FileSystem.from_uri("s3://" + uri[6:] if uri.startswith("s3a://") else uri)
+
+
 def row_group_stats(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     """From the footers: every row group's highest score, and its group if the footer proves it holds just one."""
 
@@ -76,7 +81,7 @@ def row_group_stats(spark: SparkSession, files: Sequence[str]) -> DataFrame:
         for batch in batches:
             rows = []
             for uri in batch.column(0).to_pylist():
-                fs, name = pyarrow.fs.FileSystem.from_uri(uri)
+                fs, name = _file_system(uri)
                 with fs.open_input_file(name) as f:
                     meta = pq.read_metadata(f)
                 at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
@@ -107,7 +112,7 @@ def _read(wave: DataFrame, schema: StructType, n: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fs, name = pyarrow.fs.FileSystem.from_uri(uri)
+                fs, name = _file_system(uri)
                 with fs.open_input_file(name) as f:
                     rows = pq.ParquetFile(f, read_dictionary=[_G]).read_row_group(k)
                 if not rows.num_rows:
