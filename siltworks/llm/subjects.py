@@ -1,9 +1,9 @@
 """Subjects of documents by latent Dirichlet allocation.
 
 Sentences that only compare or mention in passing are left out. The words that are neither rare nor common in
-the corpus make up the vocabulary; topics are fitted over all documents, in mini-batches. Each topic is mapped
-to a subject through its top terms: hand-labelled documents that hold a term say what it is about. A document
-deals with the subjects whose topics hold at least a word's worth of it, by its topic proportions.
+the corpus make up the vocabulary; topics are fitted in mini-batches that together hold every document once a
+pass. Each topic is mapped to a subject through its top terms: hand-labelled documents that hold a term say what
+it is about. A document deals with the subjects whose topics hold at least a word's worth of it, by its topic proportions.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import LDA, LDAModel
+from pyspark.ml.clustering import LocalLDAModel
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -39,11 +39,9 @@ class Plan:
     most_share: float = 0.03
     least_docs: int = 3
     vocabulary: int = 1 << 14
-    #: passes over all documents with a vocabulary word, and the mini-batches that they are done in
-    passes: float = 2.0
-    steps: int = 60
-    #: documents that a mini-batch has at least, if there are so many
-    least_batch: int = 4000
+    #: passes over all documents with a vocabulary word, and the mini-batches that they are done in, at any number of documents
+    passes: float = 8.0
+    steps: int = 64
     top_terms: int = 25
     #: a term is inspected for a topic if its weight there is this many times the mean
     top_share: float = 1.0
@@ -74,7 +72,7 @@ class SubjectModel:
     `of` holds, by topic and term, the number of a subject in `subjects`, or len(subjects) for none.
     """
 
-    lda: LDAModel
+    lda: LocalLDAModel
     vectorizer: object
     terms: np.ndarray
     subjects: list[str]
@@ -88,16 +86,42 @@ def fit(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), background: str
     low = max(plan.least_docs, int(plan.least_share * n))
     vectorizer = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=plan.vocabulary, minDF=float(low), maxDF=float(max(low + 1, int(plan.most_share * n)))).fit(docs)
     known = F.array(*[F.lit(w) for w in vectorizer.vocabulary])
-    counted = materialize(vectorizer.transform(docs.where(F.arrays_overlap("words", known))).select("counts"))
-    share = min(1.0, max(plan.passes / plan.steps, plan.least_batch / max(1, n)))
-    lda = LDA(k=plan.topics, featuresCol="counts", optimizer="online", maxIter=plan.steps, subsamplingRate=share, seed=plan.seed, docConcentration=[0.05], topicConcentration=0.02, learningOffset=8.0, learningDecay=0.6)
-    model = lda.fit(counted)
+    counted = vectorizer.transform(docs.where(F.arrays_overlap("words", known))).select("counts")
+    model = fit_topics(counted, len(vectorizer.vocabulary), plan)
     weight = model.topicsMatrix().toArray()
     weight = weight / np.maximum(weight.sum(axis=0), 1e-12)
     subjects, about = term_subjects(docs, labels, vectorizer.vocabulary, plan, background)
     return SubjectModel(model, vectorizer, weight, subjects, map_topics(weight, about, plan), plan)
 
 
+def mini_batches(counted: DataFrame, plan: Plan) -> tuple[DataFrame, list[DataFrame]]:
+    """The documents, and the mini-batches of a pass: each document is in exactly one, and they are of like size."""
+    each = max(1, round(plan.steps / plan.passes))
+    dealt = materialize(counted.withColumn("batch", F.pmod(F.monotonically_increasing_id(), F.lit(each))))
+    return dealt, [dealt.where(F.col("batch") == b) for b in range(each)]
+
+
+def fit_topics(counted: DataFrame, terms: int, plan: Plan) -> LocalLDAModel:
+    """Online LDA whose every pass reads every document of `counted` (counts) once.
+
+    MLlib's own loop draws each mini-batch anew with replacement, which leaves documents out however long it runs;
+    so its optimizer is handed the mini-batches here.
+    """
+    spark = counted.sparkSession
+    mllib, ml = spark._jvm.org.apache.spark.mllib.clustering, spark._jvm.org.apache.spark.ml.clustering
+    rows = lambda df: getattr(getattr(ml, "LDA$"), "MODULE$").getOldDataset(df._jdf, "counts")
+    dealt, batches = mini_batches(counted, plan)
+    lda = mllib.LDA().setK(plan.topics).setDocConcentration(0.05).setTopicConcentration(0.02).setSeed(plan.seed)
+    optimizer = mllib.OnlineLDAOptimizer().setTau0(8.0).setKappa(0.6).setMiniBatchFraction(1.0 / len(batches)).setOptimizeDocConcentration(True)
+    optimizer.initialize(rows(dealt), lda)
+    for _ in range(max(1, round(plan.passes))):
+        for batch in batches:
+            optimizer.submitMiniBatch(rows(batch))
+    times = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    java = ml.LocalLDAModel(f"subjects-{plan.seed}", terms, optimizer.getLDAModel(times), spark._jsparkSession)
+    return LocalLDAModel(java).setFeaturesCol("counts").setSeed(plan.seed)
+
+
 def term_subjects(docs: DataFrame, labels: DataFrame, vocabulary: list[str], plan: Plan, background: str) -> tuple[list[str], np.ndarray]:
     """The subjects, and by term and subject how much oftener the term is in documents so labelled than in others.
 

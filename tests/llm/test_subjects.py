@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from siltworks.llm.subjects import Plan, assign, document_words, fit, words
+from siltworks.llm.subjects import Plan, assign, document_words, fit, mini_batches, words
 
 TOPICS = {"sport": "goalkeeper stadium referee penalty marathon sprint".split(), "food": "oven dough recipe spice bakery cheese".split(), "law": "plaintiff verdict statute bailiff tenancy notary".split()}
 CHAT = "build cache commit branch deploy header socket worker queue bucket".split()
@@ -39,3 +39,14 @@ def test_topics_find_held_out_subjects(spark):
 def test_words(spark):
     df = spark.createDataFrame([("The  Oven at src/a.py:3 IS hot. Das wirkt wie Gewächshäuser, nur einfacher.\nwell_known x2 Käse",), (None,)], "t string")
     assert [r[0] for r in df.select(words(F.col("t"))).collect()] == [["the", "oven", "hot", "käse"], []]
+
+
+def test_a_pass_reads_every_document_once_at_any_size(spark):
+    held = {}
+    for n in (333, 20_000):
+        _, batches = mini_batches(spark.range(n).repartition(3), Plan())
+        ids = [[r["id"] for r in b.collect()] for b in batches]
+        assert sorted(i for b in ids for i in b) == list(range(n))
+        assert max(map(len, ids)) - min(map(len, ids)) <= 3
+        held[n] = len(ids)
+    assert held[333] == held[20_000] == Plan().steps / Plan().passes
