@@ -1,7 +1,7 @@
 """Subjects of documents by latent Dirichlet allocation.
 
-Sentences that only compare or mention in passing are left out. The words that are neither rare nor common in
-the corpus make up the vocabulary; topics are fitted in mini-batches that together hold every document once a
+Sentences that only compare or mention in passing are left out. The words that the labels of documents set
+apart, and those neither rare nor common in the corpus, make up the vocabulary; topics are fitted in mini-batches that together hold every document once a
 pass. Each topic is mapped to a subject through its top terms: hand-labelled documents that hold a term say what
 it is about. A document deals with the subjects whose topics hold at least a word's worth of it, by its topic proportions.
 """
@@ -13,9 +13,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import LocalLDAModel
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltworks.session import materialize, widen
@@ -34,10 +34,14 @@ class Plan:
     """How topics are fitted and read."""
 
     topics: int = 80
-    #: document frequency of a vocabulary word, as a share of all documents; at least `least_docs`
+    #: frequency of a vocabulary word that tells of no subject, as a share of distinct texts; at least `least_docs`
     least_share: float = 0.0004
     most_share: float = 0.03
     least_docs: int = 3
+    #: whatever its frequency, a word stays that a subject's labelled documents hold so much oftener than the others,
+    #: and by so many standard deviations more than these let expect
+    telling_lift: float = 3.0
+    telling_sigmas: float = 6.0
     vocabulary: int = 1 << 14
     #: passes over all documents with a vocabulary word, and the mini-batches that they are done in, at any number of documents
     passes: float = 8.0
@@ -82,15 +86,15 @@ class SubjectModel:
 
 def fit(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), background: str = "software") -> SubjectModel:
     """Fit topics on all of `docs` (doc_id, words) and map them by `labels` (doc_id, subject)."""
-    n = docs.count()
-    low = max(plan.least_docs, int(plan.least_share * n))
-    vectorizer = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=plan.vocabulary, minDF=float(low), maxDF=float(max(low + 1, int(plan.most_share * n)))).fit(docs)
-    known = F.array(*[F.lit(w) for w in vectorizer.vocabulary])
+    told, sizes = told_counts(docs, labels, plan)
+    vocabulary = choose_vocabulary(docs, told, sizes, plan, background)
+    vectorizer = CountVectorizerModel.from_vocabulary(vocabulary, "words", "counts")
+    known = F.array(*[F.lit(w) for w in vocabulary])
     counted = vectorizer.transform(docs.where(F.arrays_overlap("words", known))).select("counts")
-    model = fit_topics(counted, len(vectorizer.vocabulary), plan)
+    model = fit_topics(counted, len(vocabulary), plan)
     weight = model.topicsMatrix().toArray()
     weight = weight / np.maximum(weight.sum(axis=0), 1e-12)
-    subjects, about = term_subjects(docs, labels, vectorizer.vocabulary, plan, background)
+    subjects, about = term_subjects(told, sizes, vocabulary, plan, background)
     return SubjectModel(model, vectorizer, weight, subjects, map_topics(weight, about, plan), plan)
 
 
@@ -122,15 +126,52 @@ def fit_topics(counted: DataFrame, terms: int, plan: Plan) -> LocalLDAModel:
     return LocalLDAModel(java).setFeaturesCol("counts").setSeed(plan.seed)
 
 
-def term_subjects(docs: DataFrame, labels: DataFrame, vocabulary: list[str], plan: Plan, background: str) -> tuple[list[str], np.ndarray]:
-    """The subjects, and by term and subject how much oftener the term is in documents so labelled than in others.
+def told_counts(docs: DataFrame, labels: DataFrame, plan: Plan) -> tuple[DataFrame, dict[str, int]]:
+    """By term and subject the labelled documents so labelled that hold the term (count), and those of each subject.
 
-    At most `most_labelled` label rows are read. A term that no labelled document holds has zeros.
+    At most `most_labelled` label rows are read.
     """
-    told = labels.limit(plan.most_labelled).join(docs, "doc_id").select("doc_id", "subject", F.array_distinct("words").alias("words"))
-    known = docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "term string")
-    rows = told.select("subject", F.explode("words").alias("term")).join(known, "term").groupBy("term", "subject").count().collect()
+    told = materialize(labels.limit(plan.most_labelled).join(docs, "doc_id").select("doc_id", "subject", F.array_distinct("words").alias("words")))
     sizes = {r["subject"]: r["count"] for r in told.groupBy("subject").count().collect()}
+    return told.select("subject", F.explode("words").alias("term")).groupBy("term", "subject").count(), sizes
+
+
+def telling_terms(told: DataFrame, sizes: dict[str, int], plan: Plan, background: str) -> DataFrame:
+    """The terms that labelled documents of one subject hold far oftener than the other labelled documents do."""
+    total = sum(sizes.values())
+    if not sizes.keys() - {background}:
+        return told.select("term").where("false")
+    own = F.try_element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("subject"))
+    others = (F.sum("count").over(Window.partitionBy("term")) - F.col("count") + 0.5) / (total - own + 1)
+    by = told.withColumns({"rate": F.col("count") / own, "others": others, "expected": others * own})
+    far = (F.col("rate") >= plan.telling_lift * F.col("others")) & (F.col("count") - F.col("expected") >= plan.telling_sigmas * F.sqrt("expected"))
+    return by.where((F.col("subject") != background) & (F.col("count") >= plan.least_docs) & far).select("term").distinct()
+
+
+def choose_vocabulary(docs: DataFrame, told: DataFrame, sizes: dict[str, int], plan: Plan, background: str) -> list[str]:
+    """The terms that tell subjects apart, however common or rare; then the most frequent that are neither.
+
+    Frequencies are counted over distinct texts, so copies count once. The bounds of `plan` and `vocabulary` apply
+    only to terms that the labels say nothing of; the telling ones are bounded by the labelled documents.
+    """
+    texts = docs.select(F.col("words")).where(F.size("words") > 0).distinct()
+    texts = materialize(texts.select(F.array_distinct("words").alias("words")))
+    n = texts.count()
+    low = max(plan.least_docs, int(plan.least_share * n))
+    high = max(low + 1, int(plan.most_share * n))
+    telling = {r["term"] for r in telling_terms(told, sizes, plan, background).collect()}
+    often = texts.select(F.explode("words").alias("term")).groupBy("term").count().where(F.col("count").between(low, high))
+    rest = [r["term"] for r in often.orderBy(F.desc("count"), "term").limit(plan.vocabulary).collect()]
+    return (sorted(telling) + [t for t in rest if t not in telling])[: max(plan.vocabulary, len(telling))]
+
+
+def term_subjects(told: DataFrame, sizes: dict[str, int], vocabulary: list[str], plan: Plan, background: str) -> tuple[list[str], np.ndarray]:
+    """The subjects, and by term and subject how much oftener the term is in documents so labelled than in others.
+
+    A term that no labelled document holds has zeros.
+    """
+    known = told.sparkSession.createDataFrame([(w,) for w in vocabulary], "term string")
+    rows = told.join(known, "term").collect()
     names = sorted(sizes.keys() - {background})
     at, of = {w: i for i, w in enumerate(vocabulary)}, {s: i for i, s in enumerate([*names, background])}
     seen = np.zeros((len(vocabulary), len(of)))

@@ -50,3 +50,22 @@ def test_a_pass_reads_every_document_once_at_any_size(spark):
         assert max(map(len, ids)) - min(map(len, ids)) <= 3
         held[n] = len(ids)
     assert held[333] == held[20_000] == Plan().steps / Plan().passes
+
+
+def test_a_subject_of_a_third_of_the_documents_keeps_its_words(spark):
+    rnd = random.Random(8)
+    letters = lambda p, n: [p + a + b for a in "abcdefgh" for b in "klmnopqr"][:n]
+    own = {"sport": letters("goal", 12), **{s: letters(s[:3], 40) for s in ("food", "law", "music")}}
+    docs, truth = [], {}
+    for i in range(1500):
+        s = "sport" if i % 3 == 0 else rnd.choice(["food", "law", "music", "software", "software"])
+        docs.append((i, " ".join(rnd.sample(CHAT, 8) + rnd.sample(own.get(s, CHAT), 4))))
+        truth[i] = s
+    docs += [(1500 + i, docs[3][1]) for i in range(500)]  # copies
+    df = document_words(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(i, truth[i]) for i in range(300)], "doc_id bigint, subject string")
+    model = fit(df, labels, Plan(topics=8))
+    assert set(own["sport"]) <= set(model.vectorizer.vocabulary) and not set(CHAT) & set(model.vectorizer.vocabulary)
+    got = {r["doc_id"] for r in assign(model, df).where("subject = 'sport'").collect()}
+    wanted = {i for i in range(300, 1500) if truth[i] == "sport"} | set(range(1500, 2000))
+    assert len(got & wanted) > 0.9 * len(wanted) and len([i for i in got if i >= 300 and i not in wanted]) < 0.1 * len(wanted)
