@@ -176,13 +176,17 @@ def _is_secret(name: str) -> bool:
     return bool(_SECRET_NAME.search(name)) and not _NOT_SECRET.search(name)
 
 
-#: What a line must hold, in any case, to be looked at closely.
-_HINT = re.compile(
-    r"[Pp][Aa][Ss][Ss]|[Pp][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn](?!_?[Cc]ount)|[Kk][Ee][Yy](?!=lambda)|[Aa][Uu][Tt][Hh]|[Cc]red|CRED|[Bb]earer|[Bb]asic|identified|IDENTIFIED|[Ll]ogin|user"
-    r"|://[^\s/]*:[^\s/]*@|[?&](?:sig|signature)=|AKIA|ASIA|gh[pousr]_|glpat|xox|k_live_|npm_|pypi-|AIza|SG\.|eyJ|-----BEGIN"
-)
-#: Lower-case words, one of which every line that _HINT accepts holds.
-_WORDS = ("pass", "pw", "secret", "token", "key", "auth", "cred", "bearer", "basic", "identified", "login", "user", "://", "sig=", "signature=", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat", "xox", "k_live_", "npm_", "pypi-", "aiza", "sg.", "eyj", "-----begin")
+#: Lower-case words, one of which every line holds that a pattern of literals_in_line can match.
+_WORDS = (
+    "pass", "pw", "secret", "token", "key", "auth", "cred", "bearer", "basic", "identified", "login", "user", "account", "mysql", "curl", "://", "sig=", "signature=",
+    "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat", "xox", "k_live_", "npm_", "pypi-", "aiza", "sg.", "eyj", "-----begin",
+)
+#: What must stand around a word for the line to be looked at; the other words suffice alone.
+_AROUND = {
+    "token": r"token(?!_?count)", "key": r"key(?!=lambda[\s:])", "://": r"://[^\s/]*:[^\s/]*@", "sig=": r"[?&]sig=", "signature=": r"[?&]signature=", "account": r"\baccount\s", "curl": r"\bcurl\b", "mysql": r"\bmysql",
+    "akia": r"(?-i:AKIA)", "asia": r"(?-i:ASIA)", "aiza": r"(?-i:AIza)", "sg.": r"(?-i:SG\.)", "eyj": r"(?-i:eyJ)", "-----begin": r"(?-i:-----BEGIN)",
+}
+_HINT = re.compile("|".join(_AROUND.get(w, re.escape(w)) for w in _WORDS), re.I)
 _KEY_BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
 
 
