@@ -46,6 +46,12 @@ def schema_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.schema_search(docs, "doc_id", "text", SCHEMA_QUERIES).withColumn("queries", F.array_join("queries", " ; "))
 
 
+def schema_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged windows of each document of any source, within a budget."""
+    docs = widen(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return S.schema_search(docs, "doc_id", "text", SCHEMA_QUERIES).withColumn("queries", F.array_join("queries", " ; "))
+
+
 def report_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON report per repository: worst finding rank, files loaded, results, kind."""
     f = table(spark, sf_dir, "findings").groupBy("repo").agg(F.count("*").alias("findings"), F.max(severity_rank(F.col("severity"))).alias("worst"))
@@ -56,7 +62,7 @@ def report_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (activation_plan, recorded_answers, dependency_inventory, schema_search, report_payload)}
+    return {q.__name__: q for q in (activation_plan, recorded_answers, dependency_inventory, schema_search, schema_search_all, report_payload)}
 
 
 def oracle_sql() -> dict:
@@ -64,7 +70,7 @@ def oracle_sql() -> dict:
     split = r"CASE WHEN text = '' THEN []::VARCHAR[] ELSE regexp_split_to_array(regexp_replace(text, '(\r\n|\n|\r)\z', ''), '\r\n|\n|\r') END"
     merge = lambda src, keys, n: f"""SELECT {keys}, min(s) AS s, max(e) AS e, {n} AS m, list_sort(list(DISTINCT query)) AS qs FROM (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY s, e, query ROWS UNBOUNDED PRECEDING) AS isl
         FROM (SELECT *, max(e) OVER (PARTITION BY {keys} ORDER BY s, e, query ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM {src})) GROUP BY {keys}, isl"""
-    return {
+    sql = {
         "activation_plan": f"""WITH m AS ({_predicates_sql()}), g AS (SELECT DISTINCT module_id, group_id FROM leaf_definitions WHERE repo IS NULL),
             o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, module_id, group_id ORDER BY finished_at DESC NULLS LAST, result_id DESC) AS n FROM group_results) WHERE n = 1)
             SELECT m.repo, m.module_id, g.group_id, coalesce(o.enabled, m.enabled, true) AS enabled, coalesce(o.confidence, m.confidence, 0.5) AS confidence, o.enabled IS NOT NULL AS overridden
@@ -85,3 +91,5 @@ def oracle_sql() -> dict:
             SELECT s.repo, '{"repo":"' || s.repo || '","summary":{"findings":' || coalesce(f.n, 0) || ',"worst":' || coalesce(f.w, 0) || '},"evidence":{"files":' || coalesce(l.n, 0) || ',"paths":' || coalesce(l.p, 0) || '},"results":' || coalesce(r.n, 0) || '}' AS report
             FROM repo_signals s LEFT JOIN f ON f.repo = s.repo LEFT JOIN l ON l.repo = s.repo LEFT JOIN r ON r.repo = s.repo""",
     }
+    every = sql["schema_search"].replace(" AND lower(trim(source)) IN ('adr_notes', 'howto_guides')", "")
+    return sql | {"schema_search_all": every}

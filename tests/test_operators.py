@@ -164,3 +164,12 @@ def test_late_findings_in_a_stream(spark, tmp_path):
     rows = [(1, "2025-01-01 00:00:00"), (1, "2025-01-02 00:00:00"), (2, "2025-01-02 00:00:00")]
     spark.createDataFrame(rows, "finding_id bigint, t string").select("finding_id", F.col("t").cast("timestamp").alias("ingested_at")).write.parquet(str(tmp_path / "f"))
     assert drain(once_each(read_stream(spark, str(tmp_path / "f"))), "append").count() == 2
+
+
+def test_schema_search_all_reads_every_source(spark, tmp_path):
+    from siltworks.queries.plans import schema_search_all
+
+    docs = [(i, s, "a\nb\nc\nretry\nd\ne\nf") for i, s in enumerate(["adr_notes", "issues", " Reviews ", "", None])]
+    spark.createDataFrame(docs, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in schema_search_all(spark, str(tmp_path)).select("doc_id", "place", "start", "end", "matches", "queries", "chars").collect())
+    assert got == [(i, 1, 2, 6, 1, "retry", 13) for i in range(5)]
