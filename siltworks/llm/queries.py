@@ -147,8 +147,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subjects that each document deals with."""
-    docs = document_words(table(spark, sf_dir, "documents"))
-    return assign(fit(docs, table(spark, sf_dir, "subject_labels").select("doc_id", "subject")), docs)
+    return assign(*fit(document_words(table(spark, sf_dir, "documents")), table(spark, sf_dir, "subject_labels")))
 
 
 def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
