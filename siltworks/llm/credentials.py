@@ -1,9 +1,9 @@
 """Credentials embedded in code, configuration and questions: found, and redacted in place.
 
-Literals that stand where a credential would stand are indexed over the whole corpus. A literal that many
-owners share is a placeholder; a rare one that has a credential's form is confirmed. Every text is then scanned
-again for the confirmed literals, with an automaton of those that its own words can hold, so that a credential
-is found also where nothing around it tells of one.
+Literals that stand where a credential would stand are indexed, stand-ins among them, and every text is scanned for
+all of them with an automaton of those that its own bytes can hold; so the index knows of each literal all its places
+and owners, whatever stands around it. A literal that a share of all owners hold is a placeholder, unless it has the
+form of a token that a service issues; a rare one that has a credential's form is confirmed, and all its places count.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import base64
 import binascii
 import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.session import materialize, widen
+from siltworks.session import stored, widen
 
 #: The forms of tokens that services issue.
 STRUCTURED = re.compile(
@@ -43,7 +44,9 @@ _STAND_IN = re.compile(
     r"your|change|replace|example|placeholder|dummy|sample|insert|redact|mask|todo|fixme|foobar|not[-_ ]?set|undefined|none$|null$|true$|false$|(?-i:x{4,}|X{4,})|\*{3,}|\.{3,}|…|•{3,}|0{8,}|12345678|abcdefgh|hunter2|password1?$|secret$",
     re.I,
 )
-_REFERENCE = re.compile(r"[$%#]\{|\{\{|\}\}|^\$\w+$|^\$\(|^%\w+%$|^<.*>$|^env:|^vault:|^ssm:|^arn:|^file:|^keyring|environ|getenv|process\.env|secrets?\.|^@|\bvault\b|^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$|^\[.*\]$")
+#: Forms that refer to a secret kept elsewhere, and forms that name one.
+_REFERENCE = re.compile(r"[$%#]\{|\{\{|\}\}|^\$\w+$|^\$\(|^%\w+%$|^env:|^vault:|^ssm:|^arn:|^file:|^keyring|environ|getenv|process\.env|secrets?\.|^@|\bvault\b")
+_NAME_ONLY = re.compile(r"^<.*>$|^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$|^\[.*\]$")
 _PATTERN = re.compile(r"\[[^\]]*-[^\]]*\]|\{\d+(?:,\d*)?\}|\(\w+(?:\|\w+)+\)|\\[dws]|\.\*|\.\+")
 _SECRET_NAME = re.compile(
     r"(?:password|passwd|pwd|passphrase|passwort|secret|token|credentials?|(?:^|[_\-.])(?:pass|pw|auth)|[a-z]Pass"
@@ -78,11 +81,22 @@ _HEX = re.compile(r"(?:[0-9a-f]{16,}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}
 
 
 def usable(value: str, name: str = "") -> bool:
-    """Whether a value can be a credential: no stand-in, reference, pattern, path, number, phrase or plain word."""
+    """Whether a value can be a credential: neither a stand-in nor what `credible` leaves out."""
+    return credible(value, name) and genuine(value)
+
+
+def genuine(value: str) -> bool:
+    """No stand-in, as far as the value itself tells: no filler, name or plain word."""
     v = value.strip()
-    if len(v) < 6 or len(set(v)) < 4 or " " in v or re.fullmatch(r"[\d.,]+", v):
+    return len(set(v)) >= 4 and not _STAND_IN.search(v) and not _NAME_ONLY.search(v) and bool(re.search(r"\d|[^\w\-]", v) or _jumbled(v) or re.match(r"(?:AKIA|ASIA|AIza)[A-Z]{4,}$", v))
+
+
+def credible(value: str, name: str = "") -> bool:
+    """Whether a value can be a credential or a stand-in for one: no reference, pattern, path, number, phrase or word in lower case."""
+    v = value.strip()
+    if len(v) < 6 or " " in v or not re.search(r"\w", v) or re.fullmatch(r"[\d.,]+", v):
         return False
-    if _STAND_IN.search(v) or _REFERENCE.search(v) or _PATTERN.search(v):
+    if _REFERENCE.search(v) or _PATTERN.search(v):
         return False
     if "://" in v or v.startswith(("sha256:", "sha512", "sha1:", "md5:")) or re.fullmatch(r"[./~]*[\w\-]+(?:\.\w+)?(?:/[a-z_\-.]+)+/?|[./~]*/[a-z_\-]+(?:\.[a-z]+)?", v):
         return False
@@ -92,7 +106,7 @@ def usable(value: str, name: str = "") -> bool:
         return False
     if name and re.sub(r"\W|_", "", v).lower() == re.sub(r"\W|_", "", name).lower():
         return False
-    return bool(re.search(r"\d|[^\w\-]", v)) or _jumbled(v) or bool(re.match(r"(?:AKIA|ASIA|AIza)[A-Z]{4,}$", v))
+    return bool(re.search(r"\d|[^\w\-]", v)) or _jumbled(v) or v == v.upper() or len(set(v)) < 4
 
 
 def _jumbled(v: str) -> bool:
@@ -116,59 +130,61 @@ def login(encoded: str) -> str | None:
     return password if colon and user and plain.isprintable() else None
 
 
-Found = tuple[int, int, str, str]
+Found = tuple[int, int, str, str, bool]
 
 
 def literals_in_line(line: str) -> list[Found]:
-    """The literals of a line that stand where a credential would: (begin, end, form, literal)."""
+    """The literals of a line that stand where a credential would: (begin, end, form, literal, whether it is no stand-in)."""
     out: list[Found] = []
 
-    def take(m: re.Match, group: int, form: str) -> None:
-        out.append((m.start(group), m.end(group), form, m[group]))
+    def take(m: re.Match, group: int, form: str, real: bool) -> None:
+        out.append((m.start(group), m.end(group), form, m[group], real))
 
     for m in STRUCTURED.finditer(line):
-        if not re.search(r"(\w)\1{5}|XXXX|EXAMPLE|example|\.\.\.", m[0]):
-            take(m, 0, "token")
+        take(m, 0, "token", not re.search(r"(\w)\1{5}|XXXX|EXAMPLE|example|\.\.\.", m[0]))
     for m in _URL.finditer(line):
-        if usable(m[2]) or (len(m[2]) >= 8 and _mixed(m[2]) and not _STAND_IN.search(m[2]) and not _REFERENCE.search(m[2])):
-            take(m, 2, "login")
+        if credible(m[2]) or (len(m[2]) >= 8 and _mixed(m[2]) and not _REFERENCE.search(m[2])):
+            take(m, 2, "login", (genuine(m[2]) and credible(m[2])) or (len(m[2]) >= 8 and _mixed(m[2]) and not _STAND_IN.search(m[2])))
     for m in _CALLED.finditer(line):
         g = m.lastindex
-        if usable(m[g]):
-            take(m, g, "login")
+        if credible(m[g]):
+            take(m, g, "login", genuine(m[g]))
     for m in _PARAM.finditer(line):
-        if usable(m[1]):
-            take(m, 1, "parameter")
+        if credible(m[1]):
+            take(m, 1, "parameter", genuine(m[1]))
     for m in _AUTH.finditer(line):
         kind = m[1].lower()
         if kind == "basic":
             password = login(m[2])
-            if password and not _STAND_IN.search(password) and not _REFERENCE.search(password):
-                take(m, 2, "login")
-        elif kind == "bearer" and len(m[2]) >= 16 and usable(m[2]) and re.search(r"\d", m[2]):
-            take(m, 2, "bearer")
+            if password and not _REFERENCE.search(password):
+                take(m, 2, "login", not _STAND_IN.search(password))
+        elif kind == "bearer" and len(m[2]) >= 16 and credible(m[2]) and re.search(r"\d", m[2]):
+            take(m, 2, "bearer", genuine(m[2]))
     if re.search(r"(?:server|host|data source|uid|user id)\s*=", line, re.I):
         for m in _CONN.finditer(line):
-            if usable(m[1]):
-                take(m, 1, "login")
+            if credible(m[1]):
+                take(m, 1, "login", genuine(m[1]))
     for rx in (_USER, _SIGN):
         for m in rx.finditer(line):
-            if usable(m[1]):
-                take(m, 1, "login")
+            if credible(m[1]):
+                take(m, 1, "login", genuine(m[1]))
     for rx in (_VALUE, _ATTR, _SQL, _XML, _DEFINE):
         for m in rx.finditer(line):
-            if _is_secret(m[1]) and usable(m[2], m[1]):
-                take(m, 2, "named")
+            if _is_secret(m[1]) and credible(m[2], m[1]):
+                take(m, 2, "named", genuine(m[2]))
     for m in _NAMED.finditer(line):
+        if not _is_secret(m[1]):
+            continue
         g = next(i for i in (2, 3, 4, 5) if m[i] is not None)
         more = _MORE.match(line, m.end()) if g != 5 else None  # a literal in two parts
-        if _is_secret(m[1]) and usable(m[g] + more[1] if more else m[g], m[1]) and not (g == 5 and re.fullmatch(r"[a-z_]+", m[g])) and not _BEGIN.search(m[g]):
-            take(m, g, "named")
+        whole = m[g] + more[1] if more else m[g]
+        if credible(whole, m[1]) and not (g == 5 and re.fullmatch(r"[a-z_]+", m[g])) and not _BEGIN.search(m[g]):
+            take(m, g, "named", genuine(whole))
             if more:
-                take(more, 1, "named")
+                take(more, 1, "named", genuine(whole))
     for m in _SAID.finditer(line):
-        if usable(m[1]) and (STRUCTURED.match(m[1]) or _HEX.match(m[1]) or (re.search(r"\d", m[1]) and re.search(r"[A-Z]", m[1]) and len(m[1]) >= 16)):
-            take(m, 1, "said")
+        if credible(m[1]) and (STRUCTURED.match(m[1]) or _HEX.match(m[1]) or (re.search(r"\d", m[1]) and re.search(r"[A-Z]", m[1]) and len(m[1]) >= 16)):
+            take(m, 1, "said", genuine(m[1]))
     return out
 
 
@@ -188,6 +204,7 @@ _AROUND = {
 }
 _HINT = re.compile("|".join(_AROUND.get(w, re.escape(w)) for w in _WORDS), re.I)
 _KEY_BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
+_BODY_ON = re.compile(r"""(?:(?:[\s"'+,;]|\\[nr])*[A-Za-z0-9+/=]{16,})*""")
 
 
 @lru_cache(maxsize=1)
@@ -225,58 +242,72 @@ def hinted_lines(text: str) -> Iterator[tuple[int, int, str]]:
             yield number + 1, begin, line
 
 
-def literals(text: str | None) -> Iterator[tuple[int, int, int, str, str]]:
-    """Of a text: (line from 1, begin, end, form, literal), one per place; places may overlap where forms do."""
+def candidates(text: str | None) -> Iterator[tuple[int, int, int, str, str, bool]]:
+    """Of a text: (line from 1, begin, end, form, literal, whether it is no stand-in), one per place; places may overlap where forms do."""
     for n, at, line in hinted_lines(text or ""):
-        seen = set()
-        for b, e, form, lit in literals_in_line(line):
-            if (b, e) not in seen:
-                seen.add((b, e))
-                yield n, at + b, at + e, form, lit
+        seen: dict = {}
+        for b, e, form, lit, real in literals_in_line(line):
+            if (b, e) not in seen or (real and not seen[b, e][2]):
+                seen[b, e] = (form, lit, real)
+        for (b, e), (form, lit, real) in seen.items():
+            yield n, at + b, at + e, form, lit, real
         for m in _BEGIN.finditer(line):
             begin = at + m.start()
             end = text.find("-----END", begin)
             stop = text.find("-----", end + 8) + 5 if end >= 0 else -1
             stop = stop if stop >= 5 else at + len(line)
             body = text[at + m.end() : end if end >= 0 else stop]
-            if len("".join(_KEY_BODY.findall(body))) >= 48 and not re.search(r"x{8,}|\.{3}|<[a-z]", body, re.I):
-                yield n, begin, stop, "key", text[begin:stop]
+            if len("".join(_KEY_BODY.findall(body))) >= 48:
+                yield n, begin, stop, "key", text[begin:stop], not re.search(r"x{8,}|\.{3}|<[a-z]", body, re.I)
+
+
+def literals(text: str | None) -> Iterator[tuple[int, int, int, str, str]]:
+    """The candidates that are no stand-ins."""
+    return (c[:5] for c in candidates(text) if c[5])
 
 
 RUN = re.compile(r"[A-Za-z0-9_\-]+")
-LEAST_RUN = 4
+#: Bytes of a literal by which its other places are looked for; no literal is shorter.
+GRAM = 6
+_GRAM_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
+_TELLING = np.full(256, 1, dtype=np.int64)
+_TELLING[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz"]] = 0
+_TELLING[[ord(c) for c in "0123456789"]] = 2
 
 
-def run_of(literal: str) -> str | None:
-    """The run of word characters in a literal by which its other places are looked for: the longest that is no plain word."""
-    best = max(RUN.findall(literal), key=lambda r: (not r.isalpha() or r.lower() != r, len(r)) if len(r) >= LEAST_RUN else (False, 0), default="")
-    return best if len(best) >= LEAST_RUN else None
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Of UTF-8 bytes: the hash (in 62 bits) of the GRAM bytes that begin at each place."""
+    n = len(data) - GRAM + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    wide, h = data.astype(np.uint64), np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        h += wide[k : k + n] * _GRAM_FACTORS[k]
+    h ^= h >> np.uint64(32)
+    h *= _GRAM_FACTORS[0]
+    return (h ^ (h >> np.uint64(29))) >> np.uint64(2)
 
 
-_IN_RUN = np.zeros(256, dtype=bool)
-_IN_RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"]] = True
-_POWERS = np.cumprod(np.r_[np.uint64(1), np.full((1 << 16) - 1, 0x9E3779B97F4A7C15, dtype=np.uint64)], dtype=np.uint64)
+def needle_of(form: str, literal: str) -> str:
+    """What is looked for: the literal itself; of a key block, the first run of its body, since bodies are copied bare."""
+    if form != "key":
+        return literal
+    body = _BEGIN.sub("", literal).split("-----END")[0]
+    return next(iter(_KEY_BODY.findall(body)), literal)
 
 
-def run_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of UTF-8 bytes: begin, end and hash (in 62 bits) of each run of at least LEAST_RUN word characters."""
-    edge = np.diff(np.r_[False, _IN_RUN[data], False].astype(np.int8))
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    keep = (end - begin >= LEAST_RUN) & (end - begin < 1 << 12)
-    begin, end = begin[keep], end[keep]
-    if not len(begin):
-        return begin, end, np.zeros(0, dtype=np.uint64)
-    size = end - begin
-    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    term = (data[np.repeat(begin, size) + at].astype(np.uint64) + np.uint64(1)) * _POWERS[at]
-    h = np.add.reduceat(term, np.r_[0, np.cumsum(size)[:-1]])
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return begin, end, (h ^ (h >> np.uint64(32))) >> np.uint64(2)
+def gram_of(needle: str) -> int:
+    """The hash of the literal's most telling bytes."""
+    data = np.frombuffer(needle.encode("utf-8", "surrogatepass"), np.uint8)
+    hashes = gram_hashes(data)
+    worth = np.convolve(_TELLING[data], np.ones(GRAM, np.int64), "valid")
+    return int(hashes[worth.argmax()])
 
 
-_PLACE = "src string, rec_id bigint, owner string, line_no bigint, begin bigint, end bigint, form string, literal string, run string, hash bigint"
-_LINE = "src string, rec_id bigint, line_no bigint, begin bigint, line string, run string"
+_PLACE = "src string, rec_id bigint, owner string, line_no bigint, begin bigint, end bigint, form string, literal string, real boolean, needle string, hash bigint"
+_TEXT = "src string, rec_id bigint, owner string, text string, hashes array<bigint>"
+_FOUND = "src string, rec_id bigint, owner string, line_no bigint, begin bigint, end bigint, needle string"
+_TYPES = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
 
 
 def literal_index(texts: DataFrame) -> DataFrame:
@@ -286,103 +317,146 @@ def literal_index(texts: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for src, rec, owner, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for n, b, e, form, lit in literals(text):
-                    run = None if form == "key" else run_of(lit)
-                    h = int(run_hashes(np.frombuffer(run.encode(), np.uint8))[2][0]) if run and len(run) < 1 << 12 else None
-                    rows.append((src, rec, owner, n, b, e, form, lit, run, h))
+                for n, b, e, form, lit, real in candidates(text):
+                    if len(needle := needle_of(form, lit)) >= GRAM:
+                        rows.append((src, rec, owner, n, b, e, form, lit, real, needle, gram_of(needle)))
+                    else:  # part of a literal in two parts
+                        rows.append((src, rec, owner, n, b, e, form, lit, real, needle, None))
             yield _rows(rows, _PLACE)
 
     return texts.select("src", "rec_id", "owner", "text").mapInArrow(extract, _PLACE)
 
 
-_TYPES = {"string": pa.string(), "bigint": pa.int64()}
-
-
 def _rows(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     fields = [c.split() for c in ddl.split(", ")]
     columns = zip(*rows, strict=True) if rows else [()] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def confirmed_literals(index: DataFrame, max_owners: int = 3) -> DataFrame:
-    """The literals that at most `max_owners` owners hold; what more of them share is a placeholder or a specimen."""
-    owners = index.groupBy("literal").agg(F.count_distinct(F.coalesce("owner", F.lit(""))).alias("owners"), F.first("run").alias("run"), F.first("hash").alias("hash"))
-    return owners.where(F.col("owners") <= max_owners)
+def _marks(hashes: DataFrame, most_bits: int) -> np.ndarray:
+    """A set of bits with two for each hash; its size follows their number up to `most_bits`, so it is bounded."""
+    n, bits = hashes.count(), 1 << 20
+    while bits < 64 * n and bits < most_bits:
+        bits *= 2
+    spots = hashes.select(F.explode(F.array(F.col("hash"), F.shiftright("hash", 31))).alias("h"))
+    spot = F.col("h").bitwiseAND(F.lit(bits - 1)) + 1
+    marks = np.zeros(bits // 8, dtype=np.uint8)
+    for row in spots.groupBy(F.bitmap_bucket_number(spot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("m")).toLocalIterator():
+        part = np.frombuffer(row["m"], np.uint8)
+        at = (row["b"] - 1) * 4096
+        marks[at : at + len(part)] = part[: len(marks) - at]
+    return marks
 
 
-def rescan(texts: DataFrame, confirmed: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
-    """All places of confirmed literals in all texts, whatever stands around them.
+def rescan(texts: DataFrame, index: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
+    """All places of the indexed literals in all texts, whatever stands around them, by the needle found there.
 
-    A set of bits marks the hashes of the literals' runs; its size follows their number up to `most_bits`
-    (32 MB), so what is broadcast is bounded, and beyond that only more lines pass. Lines with a marked run are
-    joined to the literals by that run, and an automaton of each batch's literals finds the places in them.
+    A set of bits (32 MB at most) marks the literals' most telling bytes; if there are more literals than it can
+    keep apart, more texts pass, none is lost. Each text that holds marked bytes is kept once, joined to the literals
+    that these can belong to, and scanned as a whole by an Aho-Corasick automaton of its batch's literals.
     """
     spark = texts.sparkSession
-    wanted = confirmed.where(F.col("hash").isNotNull()).select("literal", "run", "hash")
-    n = wanted.count()
-    bits = 1 << 20
-    while bits < 16 * n and bits < most_bits:
-        bits *= 2
-    spot = F.col("hash").bitwiseAND(F.lit(bits - 1)) + 1
-    marks = np.zeros(bits // 8, dtype=np.uint8)
-    for row in wanted.groupBy(F.bitmap_bucket_number(spot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("m")).toLocalIterator():
-        part = np.frombuffer(row["m"], np.uint8)
-        marks[(row["b"] - 1) * 4096 : (row["b"] - 1) * 4096 + len(part)] = part[: len(marks) - (row["b"] - 1) * 4096]
-    shared = spark.sparkContext.broadcast(marks)
+    wanted = index.where(F.col("hash").isNotNull()).select("hash", "needle", (F.col("form") == "key").alias("body")).distinct()
+    marks = _marks(wanted.select("hash").distinct(), most_bits)
+    shared, mask = spark.sparkContext.broadcast(marks), np.uint64(8 * len(marks) - 1)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = shared.value
         for batch in batches:
             rows = []
-            for src, rec, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not text:
-                    continue
-                raw = text.encode("utf-8", "surrogatepass")
-                b, e, h = run_hashes(np.frombuffer(raw, np.uint8))
-                h &= np.uint64(bits - 1)
-                hit = np.flatnonzero((marked[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1)
-                done = set()
-                for k in hit:
-                    run = raw[b[k] : e[k]].decode()
-                    start = raw.rfind(b"\n", 0, b[k]) + 1
-                    if (start, run) in done:
-                        continue
-                    done.add((start, run))
-                    stop = raw.find(b"\n", start)
-                    line = raw[start : stop if stop >= 0 else len(raw)].decode("utf-8", "surrogatepass")
-                    rows.append((src, rec, raw.count(b"\n", 0, start) + 1, len(raw[:start].decode("utf-8", "surrogatepass")), line, run))
-            yield _rows(rows, _LINE)
+            for src, rec, owner, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if text:
+                    data, hit = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), []
+                    for at in range(0, len(data), 1 << 15):  # parts that fit a processor's cache, overlapping
+                        h = gram_hashes(data[at : at + (1 << 15) + GRAM - 1])
+                        for shift in (0, 31):
+                            spot = (h >> np.uint64(shift)) & mask
+                            h = h[((marked[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
+                        hit.append(h)
+                    if len(found := np.unique(np.concatenate(hit))):
+                        rows.append((src, rec, owner, text, found.astype(np.int64)))
+            yield _rows(rows, _TEXT)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, at = [], list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             if at:
-                words = automaton({r[6] for r in at})
-                for src, rec, n, begin, line, _, _ in {(*r[:3], *r[3:5], None, None): None for r in at}:
-                    for end, lit in words.iter(line):
-                        b = end - len(lit) + 1
-                        if not (RUN.match(line[b - 1 : b]) and RUN.match(lit[0])) and not (RUN.match(line[end + 1 : end + 2]) and RUN.match(lit[-1])):
-                            rows.append((src, rec, n, begin + b, begin + end + 1, lit))
+                needles, bodies = automaton({x["needle"] for r in at for x in r[4]}), {x["needle"] for r in at for x in r[4] if x["body"]}
+                for src, rec, owner, text, _ in at:
+                    line = start = done = 0
+                    for end, x in needles.iter(text):
+                        b = end - len(x) + 1
+                        if x in bodies:
+                            if b < done:  # within a body found already
+                                continue
+                            done = end = _BODY_ON.match(text, end + 1).end()
+                            end -= 1
+                        elif (RUN.match(text[b - 1 : b]) and RUN.match(x[0])) or (RUN.match(text[end + 1 : end + 2]) and RUN.match(x[-1])):
+                            continue  # a piece of a longer word
+                        if b >= start:
+                            line, start = line + text.count("\n", start, b), b
+                        rows.append((src, rec, owner, 1 + (line if b == start else text.count("\n", 0, b)), b, end + 1, x))
             yield _rows(rows, _FOUND)
 
-    lines = texts.select("src", "rec_id", "text").mapInArrow(probe, _LINE)
-    return lines.join(wanted.select("run", "literal"), "run").select("src", "rec_id", "line_no", "begin", "line", "run", "literal").mapInArrow(find, _FOUND).distinct()
+    held = stored(texts.select("src", "rec_id", "owner", "text").mapInArrow(probe, _TEXT), "marked")
+    own = held.select("src", "rec_id", F.explode("hashes").alias("hash")).distinct().join(wanted, "hash")
+    own = own.groupBy("src", "rec_id").agg(F.collect_set(F.struct("needle", "body")).alias("needles"))
+    scanned = held.join(own, ["src", "rec_id"]).select("src", "rec_id", "owner", "text", "needles")
+    return scanned.mapInArrow(find, _FOUND).distinct()
+
+
+@dataclass(frozen=True)
+class Rule:
+    """When a literal is a placeholder: more than `least_owners` owners hold it, and more than this share of all owners.
 
+    Tokens of a form that services issue aren't suppressed however many forks copy them.
+    """
+
+    owner_share: float = 0.01
+    least_owners: int = 4
 
-_FOUND = "src string, rec_id bigint, line_no bigint, begin bigint, end bigint, literal string"
 
+def examine(texts: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
+    """All places of all indexed literals, and what is known of each literal.
 
-def find_credentials(texts: DataFrame, max_owners: int = 3) -> DataFrame:
+    Places have src, rec_id, owner, line_no, begin, end, literal, and `told`: whether the place itself tells of a
+    credential, or it was only found by the scan for literals. Literals have form, owners, places, and whether they
+    are `shared` by too many owners, and whether they are `confirmed`.
+    """
+    texts = widen(texts)
+    index = stored(literal_index(texts), "literals")
+    by_needle = index.groupBy("needle").agg(F.min("literal").alias("literal"))
+    found = rescan(texts, index).join(by_needle, "needle").select("src", "rec_id", "owner", "line_no", "begin", "end", "literal")
+    told = index.join(by_needle, "needle").select("src", "rec_id", "owner", "line_no", "begin", "end", by_needle["literal"])
+    places = told.withColumn("told", F.lit(True)).unionByName(found.withColumn("told", F.lit(False)))
+    places = places.groupBy("src", "rec_id", "owner", "line_no", "begin", "end", "literal").agg(F.max("told").alias("told"))
+    # a key's bare body within a key block is part of that block
+    blocks = index.where(F.col("form") == "key").groupBy("src", "rec_id").agg(F.collect_set(F.struct("begin", "end")).alias("blocks"))
+    inside = F.exists("blocks", lambda x: (x["begin"] <= F.col("begin")) & (F.col("end") <= x["end"]))
+    places = places.join(blocks, ["src", "rec_id"], "left").where(F.col("told") | F.col("blocks").isNull() | ~inside).drop("blocks")
+    places = stored(places, "places")
+    owners = texts.select(F.coalesce("owner", F.lit("")).alias("o")).distinct().count()
+    form = index.join(by_needle, "needle").groupBy(by_needle["literal"]).agg(F.min("form").alias("form"), F.max("real").alias("real"), F.max(F.col("form").isin("token", "key")).alias("issued"))
+    seen = places.groupBy("literal").agg(F.count_distinct(F.coalesce("owner", F.lit(""))).alias("owners"), F.count("*").alias("places"))
+    known = form.join(seen, "literal").withColumn("shared", ~F.col("issued") & (F.col("owners") > max(rule.least_owners, rule.owner_share * owners)))
+    return places, known.withColumn("confirmed", F.col("real") & ~F.col("shared"))
+
+
+def find_credentials(texts: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """Every place of a usable credential: src, rec_id, line_no, begin, end (characters from 0), literal.
 
     `texts` has src, rec_id, owner and text. Null and empty texts hold none; a null owner is an owner of its own;
     repeated rows give the same places once. Places may overlap where one literal lies within another.
     """
-    texts = widen(texts)
-    index = materialize(literal_index(texts))
-    confirmed = materialize(confirmed_literals(index, max_owners))
-    direct = index.join(confirmed.select("literal"), "literal", "left_semi").select("src", "rec_id", "line_no", "begin", "end", "literal")
-    return direct.unionByName(rescan(texts, confirmed)).distinct()
+    places, known = examine(texts, rule)
+    return places.join(known.where("confirmed").select("literal"), "literal", "left_semi").select("src", "rec_id", "line_no", "begin", "end", "literal").distinct()
+
+
+def step_report(texts: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """How many literals and places there are by what became of them, and of the places how many only the scan found."""
+    places, known = examine(texts, rule)
+    step = F.when(F.col("shared"), "shared by owners").when(~F.col("real"), "stand-in by form").otherwise("confirmed")
+    return places.join(known, "literal").groupBy(step.alias("step")).agg(F.count_distinct("literal").alias("literals"), F.count("*").alias("places"), F.count_if(~F.col("told")).alias("scan_only"))
 
 
 def redact(texts: DataFrame, places: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltworks.llm.authored import not_typed
-from siltworks.llm.credentials import find_credentials, redact
+from siltworks.llm.credentials import find_credentials, redact, step_report
 from siltworks.llm.mixing import clean_source, draw_plan, systematic_copies
 from siltworks.llm.mojibake import repair_encoding
 from siltworks.llm.packing import fill_report, items_of, pack
@@ -102,6 +102,11 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(texts, find_credentials(texts))
 
 
+def p5_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What owner counts, forms and the scan for literals do: literals and places by what became of them."""
+    return step_report(_texts(spark, sf_dir))
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text, or piece of a text above the capacity, with its bin, for each kind of container."""
     containers = [(r["container"], r["capacity_tokens"]) for r in table(spark, sf_dir, "containers").limit(1000).collect()]
@@ -156,7 +161,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_kinds": p2_kinds, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_kinds": p2_kinds, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_redacted": p5_redacted, "p5_steps": p5_steps, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
 
 
 def oracle_sql() -> dict:
