@@ -1,8 +1,9 @@
 """Deeply nested records into related flat tables, by way of path-value-position triples.
 
-Each record is parsed as a stream into triples; paths are grouped by their nearest repeated ancestor (the
-last ``[]`` or ``{}`` step); each group is then pivoted into one table whose rows are keyed by the record and
-by the positions along that ancestor, so a child's key begins with its parent's.
+Each record is turned into triples, JSON texts by parsing them as streams, nested columns by built-in functions;
+paths are grouped by their nearest repeated ancestor (the last ``[]`` or ``{}`` step); each group is then pivoted
+into one table whose rows are keyed by the record and by the positions along that ancestor, so a child's key begins
+with its parent's.
 
 Nulls: a null record or one that is no complete JSON gives no triples. A null element keeps its position and
 gives a triple of kind ``null`` but no table row. Missing objects give no rows, missing fields give nulls.
@@ -13,12 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, NumericType, StructType
 
-from siltworks.functions.jsonstream import safe_events
+from siltworks.functions.jsonstream import safe_events, ways
 from siltworks.session import scratch_path, widen
 
 TRIPLES = "record bigint, doc string, path string, pos array<int>, names array<string>, kind string, value string"
@@ -34,6 +37,14 @@ class NestedDoc:
     maps: tuple[str, ...] = ()
 
 
+@dataclass(frozen=True)
+class NestedColumn:
+    """One column of structs, arrays or maps of a record, under the path that is the column's name. Maps are keyed by data."""
+
+    name: str
+    column: str
+
+
 @dataclass(frozen=True)
 class FlatTable:
     """A table to make: one row per non-null node at `ancestor` (its path ends in ``[]`` or ``{}``), a column per field.
@@ -49,9 +60,44 @@ class FlatTable:
     nulls: bool = False
 
 
-def json_of(column: Column | str) -> Column:
-    """A nested column as JSON text, with its null fields."""
-    return F.to_json(F.struct(F.col(column).alias(column) if isinstance(column, str) else column.alias("value")), {"ignoreNullFields": "false"})
+_NODE = "array<struct<path:string,pos:array<int>,names:array<string>,kind:string,value:string>>"
+
+
+def _nodes(x: Column, kind: DataType, path: str, pos: tuple[Column, ...], names: tuple[Column, ...], wanted: frozenset[str] | None) -> list[Column]:
+    """Arrays of the triples of a nested value: its own, and one for all below each part of it."""
+    if wanted is not None and path not in ways(wanted):
+        return []
+    nested = isinstance(kind, ArrayType | MapType | StructType)
+    out = []
+    if wanted is None or path in wanted:
+        word = "array" if isinstance(kind, ArrayType) else "object" if nested else "number" if isinstance(kind, NumericType) else "boolean" if isinstance(kind, BooleanType) else "string"
+        own = F.struct(
+            F.lit(path).alias("path"), F.array(*pos).alias("pos"), F.array(*names).alias("names"),
+            F.when(x.isNull(), "null").otherwise(word).alias("kind"), (F.lit(None) if nested else x).cast("string").alias("value"),
+        )
+        out.append(F.array(own).cast(_NODE))
+    if isinstance(kind, StructType):
+        below = [c for f in kind.fields for c in _nodes(x.getField(f.name), f.dataType, f"{path}.{f.name}", pos, names, wanted)]
+        if below:
+            out.append(F.when(x.isNull(), F.array().cast(_NODE)).otherwise(F.concat(*below)))
+    elif nested:
+        keyed = isinstance(kind, MapType)
+        step, of = ("{}", kind.valueType) if keyed else ("[]", kind.elementType)
+        if wanted is None or path + step in ways(wanted):
+            each = lambda e, i: F.concat(*_nodes(e["value"] if keyed else e, of, path + step, (*pos, i), (*names, e["key"].cast("string") if keyed else F.lit("")), wanted))
+            out.append(F.coalesce(F.flatten(F.transform(F.map_entries(x) if keyed else x, each)), F.array().cast(_NODE)))
+    return out
+
+
+def column_triples(df: DataFrame, record: Column, columns: Sequence[NestedColumn], wanted: Mapping[str, set[str]] | None = None) -> DataFrame:
+    """The triples of nested columns, by built-in functions alone; a null column gives one of kind ``null``."""
+    parts = []
+    for c in columns:
+        keep = None if wanted is None else frozenset(wanted.get(c.name, ()))
+        if nodes := _nodes(F.col(c.column), df.schema[c.column].dataType, c.column, (), (), keep):
+            parts.append(F.struct(F.lit(c.name).alias("doc"), F.concat(*nodes).alias("nodes")))
+    rows = df.select(record.cast("bigint").alias("record"), F.inline(F.array(*parts)))
+    return rows.select("record", "doc", F.inline("nodes"))
 
 
 def to_triples(df: DataFrame, record: Column, docs: Sequence[NestedDoc], wanted: Mapping[str, set[str]] | None = None) -> DataFrame:
@@ -83,6 +129,31 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
+def tables_of(paths: Sequence[tuple[str, str]], fold: Sequence[str] = (), nulls: Sequence[str] = ()) -> dict[str, FlatTable]:
+    """The tables that (doc, path) pairs fall into: one per document and nearest repeated ancestor, named ``doc:ancestor``.
+
+    A column is named as its path from the ancestor, ``value`` if it is the ancestor. Arrays whose path is in `fold`
+    come back as array columns of the table around them; `nulls` names ancestors whose null nodes are rows too.
+    Paths without a repeated ancestor are the record's own and in no table.
+    """
+    found: dict[tuple[str, str], tuple[dict, dict]] = {}
+    for doc, path in paths:
+        inner = path.removesuffix("[]") if path in fold else path
+        cut = max(inner.rfind("[]"), inner.rfind("{}")) + 2
+        if cut < 2:
+            continue
+        fields, lists = found.setdefault((doc, inner[:cut]), ({}, {}))
+        rest = inner[cut:].removeprefix(".")
+        (lists if path in fold else fields)[rest or "value"] = rest
+    return {f"{d}:{a}": FlatTable(d, a, f, ls, a in nulls) for (d, a), (f, ls) in found.items()}
+
+
+def seen_paths(triples: DataFrame) -> list[tuple[str, str]]:
+    """The distinct (doc, path) of scalars in the triples: as many as the records' schema has, whatever their number."""
+    scalar = ~F.col("kind").isin("object", "array")
+    return sorted((r["doc"], r["path"]) for r in triples.where(scalar).select("doc", "path").distinct().collect())
+
+
 def _steps(path: str) -> int:
     return path.count("[]") + path.count("{}")
 
@@ -119,7 +190,7 @@ def _paths(fields: Mapping[str, str]) -> dict[str, str]:
     return {c: f".{s}" if s else "" for c, s in fields.items()}
 
 
-def shred(df: DataFrame, record: Column, docs: Sequence[NestedDoc], tables: Mapping[str, FlatTable]) -> dict[str, DataFrame]:
+def shred(df: DataFrame, record: Column, docs: Sequence[NestedDoc | NestedColumn], tables: Mapping[str, FlatTable]) -> dict[str, DataFrame]:
     """All tables of the records. Parent and child join on record and the first positions of the child's pos.
 
     Records are parsed once: the triples are written to the shared folder, apart by the table they belong to,
@@ -130,7 +201,10 @@ def shred(df: DataFrame, record: Column, docs: Sequence[NestedDoc], tables: Mapp
     wanted: dict[str, set[str]] = {}
     for t in tables.values():
         wanted.setdefault(t.doc, set()).update(_all_paths(t))
-    to_triples(df, record, docs, wanted).withColumn("part", F.explode(parts)).write.partitionBy("part").parquet(path)
+    texts, columns = [d for d in docs if isinstance(d, NestedDoc)], [d for d in docs if isinstance(d, NestedColumn)]
+    made = [to_triples(df, record, texts, wanted)] if texts else []
+    made += [column_triples(df, record, columns, wanted)] if columns else []
+    reduce(DataFrame.unionByName, made).withColumn("part", F.explode(parts)).write.partitionBy("part").parquet(path)
     triples = spark.read.schema(TRIPLES + ", part string").parquet(path)
     return {name: pivot(triples.where(F.col("part") == name).drop("part"), t) for name, t in tables.items()}
 

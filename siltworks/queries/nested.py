@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.operators.shred import FlatTable, NestedDoc, json_of, shred
+from siltworks.operators.shred import NestedColumn, NestedDoc, shred, tables_of
 from siltworks.session import table
 
 SEARCHES = ("retrieval.code_search", "simal.search", "activation_hint_evidence.search")
@@ -15,29 +15,21 @@ HITS = tuple(f"{s}.hits_by_query" for s in SEARCHES)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, citation, query and hit rows of every group result, each tied to its parent."""
     df = table(spark, sf_dir, "group_results")
-    docs = [
-        NestedDoc("result", json_of("leaf_results")),
-        NestedDoc("bundle", F.col("evidence_bundle"), maps=HITS),
-    ]
-    tables = {
-        "leaf": FlatTable("result", "leaf_results[]", {"leaf_id": "leaf_id"}),
-        "citation": FlatTable("result", "leaf_results[].citations[]", {"citation": ""}),
-    }
-    for s, h in zip(SEARCHES, HITS, strict=True):
-        tables[f"query:{s}"] = FlatTable("bundle", h + "{}", nulls=True)
-        tables[f"hit:{s}"] = FlatTable("bundle", h + "{}[]", lists={"hit_ids": "hit_ids"})
-    flat = shred(df, F.col("result_id"), docs, tables)
+    docs = [NestedColumn("result", "leaf_results"), NestedDoc("bundle", F.col("evidence_bundle"), maps=HITS)]
+    lists = [f"{h}{{}}[].hit_ids[]" for h in HITS]
+    paths = [("result", "leaf_results[].leaf_id"), ("result", "leaf_results[].citations[]"), *[("bundle", h + "{}") for h in HITS], *[("bundle", p) for p in lists]]
+    flat = shred(df, F.col("result_id"), docs, tables_of(paths, fold=lists, nulls=[h + "{}" for h in HITS]))
 
     def rows(t: DataFrame, section: str, parent: Column, pos: Column, item: Column) -> DataFrame:
         return t.select(F.col("record").alias("result_id"), F.lit(section).alias("section"), parent.alias("parent"), pos.cast("bigint").alias("pos"), F.coalesce(item, F.lit("")).alias("item"))
 
     at = lambda i: F.element_at("pos", i)
-    out = rows(flat["leaf"], "leaf", F.lit(""), at(1), F.col("leaf_id")).unionByName(rows(flat["citation"], "citation", at(1).cast("string"), at(2), F.col("citation")))
+    out = rows(flat["result:leaf_results[]"], "leaf", F.lit(""), at(1), F.col("leaf_id")).unionByName(rows(flat["result:leaf_results[].citations[]"], "citation", at(1).cast("string"), at(2), F.col("value")))
     queries, hits = [], []
-    for s in SEARCHES:
-        names = flat[f"query:{s}"]
+    for s, h in zip(SEARCHES, HITS, strict=True):
+        names = flat[f"bundle:{h}{{}}"]
         queries.append(rows(names, "query", F.lit(s), F.lit(0), F.col("name")))
-        keyed = flat[f"hit:{s}"].withColumn("of", F.slice("pos", 1, 1))
+        keyed = flat[f"bundle:{h}{{}}[]"].withColumn("of", F.slice("pos", 1, 1))
         parents = names.select("record", F.col("pos").alias("of"), F.col("name").alias("query"))
         hits.append(rows(keyed.join(parents, ["record", "of"]), "hit", F.col("query"), at(2), F.array_join("hit_ids", ",")))
     for q in queries:

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltworks.functions.jsonstream import Incomplete, events
-from siltworks.operators.shred import FlatTable, NestedDoc, shred
+from siltworks.operators.shred import FlatTable, NestedColumn, NestedDoc, column_triples, seen_paths, shred, tables_of, to_triples
 
 values = st.recursive(st.none() | st.booleans() | st.integers(-9, 99) | st.text(max_size=4), lambda c: st.lists(c, max_size=3) | st.dictionaries(st.text(max_size=3), c, max_size=3), max_leaves=12)
 
@@ -60,3 +60,44 @@ def test_empty_input(spark):
     df = spark.createDataFrame([], "id bigint, body string")
     t = shred(df, F.col("id"), [NestedDoc("d", F.col("body"))], {"l": FlatTable("d", "l[]", {"n": "n"})})
     assert t["l"].count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(values.filter(lambda v: not isinstance(v, str)), st.data())
+def test_wanted_paths_are_those_of_all_events(v, data):
+    every = events(json.dumps(v, indent=1))
+    wanted = frozenset(data.draw(st.sets(st.sampled_from([e[0] for e in every]))))
+    assert events(json.dumps(v, indent=1), wanted=wanted) == [e for e in every if e[0] in wanted]
+
+
+@settings(max_examples=100, deadline=None)
+@given(values.filter(lambda v: not isinstance(v, str)), st.integers(0, 40))
+def test_a_cut_text_is_incomplete_also_where_nobody_looks(v, n):
+    text = json.dumps({"a": v, "b": [1]})
+    with pytest.raises(Incomplete):
+        events(text[: -1 - n % (len(text) - 1)], wanted=frozenset(["b[]"]))
+
+
+NESTED = "id bigint, body struct<l: array<struct<n: string, c: array<string>, k: double, e: struct<f: array<boolean>>>>, m: map<string, array<int>>>"
+
+
+def test_columns_and_their_json_give_the_same_triples(spark):
+    rows = [(1, {"l": [{"n": "a", "c": ["u", None, ""], "k": 2.5, "e": {"f": [True, None]}}, None, {"n": None, "c": None, "k": None, "e": None}], "m": {"x.y": [1, None], "": [], "z": None}}), (2, None), (3, {"l": [], "m": None}), (1, {"l": None, "m": {}})]
+    df = spark.createDataFrame(rows, NESTED)
+    key = lambda r: json.dumps(r.asDict())
+    text = F.to_json(F.struct("body"), {"ignoreNullFields": "false"})
+    by_text = to_triples(df, F.col("id"), [NestedDoc("d", text, maps=("body.m",))]).where("path <> ''")
+    by_column = column_triples(df, F.col("id"), [NestedColumn("d", "body")])
+    assert sorted(map(key, by_column.collect())) == sorted(map(key, by_text.collect()))
+    wanted = {"body.l[].e.f[]", "body.m{}"}
+    some = column_triples(df, F.col("id"), [NestedColumn("d", "body")], {"d": wanted})
+    assert sorted(map(key, some.collect())) == sorted(key(r) for r in by_text.collect() if r["path"] in wanted)
+    assert seen_paths(by_column) == [("d", p) for p in ("body", "body.l", "body.l[]", "body.l[].c", "body.l[].c[]", "body.l[].e", "body.l[].e.f[]", "body.l[].k", "body.l[].n", "body.m", "body.m{}", "body.m{}[]")]
+
+
+def test_paths_fall_into_tables_by_repeated_ancestor():
+    t = tables_of([("d", "a[].n"), ("d", "a[].e.f"), ("d", "a[].c[]"), ("d", "m{}"), ("d", "m{}[].ids[]"), ("d", "plain")], fold=["m{}[].ids[]"], nulls=["m{}"])
+    assert t == {
+        "d:a[]": FlatTable("d", "a[]", {"n": "n", "e.f": "e.f"}), "d:a[].c[]": FlatTable("d", "a[].c[]", {"value": ""}),
+        "d:m{}": FlatTable("d", "m{}", {"value": ""}, nulls=True), "d:m{}[]": FlatTable("d", "m{}[]", lists={"ids": "ids"}),
+    }
