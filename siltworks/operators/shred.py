@@ -24,8 +24,8 @@ from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, Numeric
 from siltworks.functions.jsonstream import safe_events, ways
 from siltworks.session import scratch_path, widen
 
-TRIPLES = "record bigint, doc string, path string, pos array<int>, names array<string>, kind string, value string"
-_ARROW = pa.schema([("record", pa.int64()), ("doc", pa.string()), ("path", pa.string()), ("pos", pa.list_(pa.int32())), ("names", pa.list_(pa.string())), ("kind", pa.string()), ("value", pa.string())])
+TRIPLES = "record bigint, doc string, path string, pos array<int>, names array<string>, kind string, value string, part string"
+_ARROW = pa.schema([("record", pa.int64()), ("doc", pa.string()), ("path", pa.string()), ("pos", pa.list_(pa.int32())), ("names", pa.list_(pa.string())), ("kind", pa.string()), ("value", pa.string()), ("part", pa.string())])
 
 
 @dataclass(frozen=True)
@@ -60,52 +60,59 @@ class FlatTable:
     nulls: bool = False
 
 
-_NODE = "array<struct<path:string,pos:array<int>,names:array<string>,kind:string,value:string>>"
+_NODE = "array<struct<path:string,pos:array<int>,names:array<string>,kind:string,value:string,part:string>>"
+#: by document and path the names of the tables that a node is part of
+Parts = Mapping[str, Mapping[str, Sequence[str]]]
 
 
-def _nodes(x: Column, kind: DataType, path: str, pos: tuple[Column, ...], names: tuple[Column, ...], wanted: frozenset[str] | None) -> list[Column]:
+def _nodes(x: Column, kind: DataType, path: str, pos: tuple[Column, ...], names: tuple[Column, ...], parts: Mapping[str, Sequence[str]] | None) -> list[Column]:
     """Arrays of the triples of a nested value: its own, and one for all below each part of it."""
+    wanted = None if parts is None else frozenset(parts)
     if wanted is not None and path not in ways(wanted):
         return []
     nested = isinstance(kind, ArrayType | MapType | StructType)
     out = []
     if wanted is None or path in wanted:
         word = "array" if isinstance(kind, ArrayType) else "object" if nested else "number" if isinstance(kind, NumericType) else "boolean" if isinstance(kind, BooleanType) else "string"
-        own = F.struct(
-            F.lit(path).alias("path"), F.array(*pos).alias("pos"), F.array(*names).alias("names"),
-            F.when(x.isNull(), "null").otherwise(word).alias("kind"), (F.lit(None) if nested else x).cast("string").alias("value"),
-        )
-        out.append(F.array(own).cast(_NODE))
+        own = [
+            F.struct(
+                F.lit(path).alias("path"), F.array(*pos).alias("pos"), F.array(*names).alias("names"),
+                F.when(x.isNull(), "null").otherwise(word).alias("kind"), (F.lit(None) if nested else x).cast("string").alias("value"), F.lit(part).alias("part"),
+            )
+            for part in (parts[path] if parts else [None])
+        ]
+        out.append(F.array(*own).cast(_NODE))
     if isinstance(kind, StructType):
-        below = [c for f in kind.fields for c in _nodes(x.getField(f.name), f.dataType, f"{path}.{f.name}", pos, names, wanted)]
+        below = [c for f in kind.fields for c in _nodes(x.getField(f.name), f.dataType, f"{path}.{f.name}", pos, names, parts)]
         if below:
             out.append(F.when(x.isNull(), F.array().cast(_NODE)).otherwise(F.concat(*below)))
     elif nested:
         keyed = isinstance(kind, MapType)
         step, of = ("{}", kind.valueType) if keyed else ("[]", kind.elementType)
         if wanted is None or path + step in ways(wanted):
-            each = lambda e, i: F.concat(*_nodes(e["value"] if keyed else e, of, path + step, (*pos, i), (*names, e["key"].cast("string") if keyed else F.lit("")), wanted))
+            each = lambda e, i: F.concat(*_nodes(e["value"] if keyed else e, of, path + step, (*pos, i), (*names, e["key"].cast("string") if keyed else F.lit("")), parts))
             out.append(F.coalesce(F.flatten(F.transform(F.map_entries(x) if keyed else x, each)), F.array().cast(_NODE)))
     return out
 
 
-def column_triples(df: DataFrame, record: Column, columns: Sequence[NestedColumn], wanted: Mapping[str, set[str]] | None = None) -> DataFrame:
-    """The triples of nested columns, by built-in functions alone; a null column gives one of kind ``null``."""
-    parts = []
+def column_triples(df: DataFrame, record: Column, columns: Sequence[NestedColumn], parts: Parts | None = None) -> DataFrame:
+    """The triples of nested columns, by built-in functions alone; a null column gives one of kind ``null``.
+
+    With `parts` only those of its paths, once for each of a path's tables.
+    """
+    made = []
     for c in columns:
-        keep = None if wanted is None else frozenset(wanted.get(c.name, ()))
-        if nodes := _nodes(F.col(c.column), df.schema[c.column].dataType, c.column, (), (), keep):
-            parts.append(F.struct(F.lit(c.name).alias("doc"), F.concat(*nodes).alias("nodes")))
-    rows = df.select(record.cast("bigint").alias("record"), F.inline(F.array(*parts)))
-    return rows.select("record", "doc", F.inline("nodes"))
+        if nodes := _nodes(F.col(c.column), df.schema[c.column].dataType, c.column, (), (), None if parts is None else parts.get(c.name, {})):
+            made.append(df.select(record.cast("bigint").alias("record"), F.lit(c.name).alias("doc"), F.inline(F.concat(*nodes))))
+    return reduce(DataFrame.unionByName, made)
 
 
-def to_triples(df: DataFrame, record: Column, docs: Sequence[NestedDoc], wanted: Mapping[str, set[str]] | None = None) -> DataFrame:
-    """The triples of every document of every record, or those at the `wanted` paths of each document.
+def to_triples(df: DataFrame, record: Column, docs: Sequence[NestedDoc], parts: Parts | None = None) -> DataFrame:
+    """The triples of every document of every record; with `parts` only those of its paths, once for each of a path's tables.
 
     A narrow step, no shuffle. Null record ids stay null.
     """
-    how = {d.name: (frozenset(d.maps), None if wanted is None else frozenset(wanted.get(d.name, ()))) for d in docs}
+    how = {d.name: (frozenset(d.maps), None if parts is None else frozenset(parts.get(d.name, ()))) for d in docs}
     texts = widen(df).select(
         record.cast("bigint").alias("record"),
         F.explode(F.array(*[F.struct(F.lit(d.name).alias("doc"), d.text.alias("text")) for d in docs])).alias("d"),
@@ -115,7 +122,7 @@ def to_triples(df: DataFrame, record: Column, docs: Sequence[NestedDoc], wanted:
         for batch in batches:
             rows: list[tuple] = []
             for rec, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(rec, doc, *e) for e in safe_events(text, *how[doc])]
+                rows += [(rec, doc, *e, p) for e in safe_events(text, *how[doc]) for p in (parts[doc][e[0]] if parts else (None,))]
                 if len(rows) >= 50_000:
                     yield _batch(rows)
                     rows = []
@@ -197,21 +204,17 @@ def shred(df: DataFrame, record: Column, docs: Sequence[NestedDoc | NestedColumn
     and each table is pivoted from its own part.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, "triples")
-    parts = F.array_compact(F.array(*[F.when(_of(t), F.lit(name)) for name, t in tables.items()]))
-    wanted: dict[str, set[str]] = {}
-    for t in tables.values():
-        wanted.setdefault(t.doc, set()).update(_all_paths(t))
+    parts: dict[str, dict[str, list[str]]] = {}
+    for name, t in tables.items():
+        for p in dict.fromkeys(_all_paths(t)):
+            parts.setdefault(t.doc, {}).setdefault(p, []).append(name)
     texts, columns = [d for d in docs if isinstance(d, NestedDoc)], [d for d in docs if isinstance(d, NestedColumn)]
-    made = [to_triples(df, record, texts, wanted)] if texts else []
-    made += [column_triples(df, record, columns, wanted)] if columns else []
-    reduce(DataFrame.unionByName, made).withColumn("part", F.explode(parts)).write.partitionBy("part").parquet(path)
-    triples = spark.read.schema(TRIPLES + ", part string").parquet(path)
+    made = [to_triples(df, record, texts, parts)] if texts else []
+    made += [column_triples(df, record, columns, parts)] if columns else []
+    reduce(DataFrame.unionByName, made).write.partitionBy("part").parquet(path)
+    triples = spark.read.schema(TRIPLES).parquet(path)
     return {name: pivot(triples.where(F.col("part") == name).drop("part"), t) for name, t in tables.items()}
 
 
-def _of(table: FlatTable) -> Column:
-    return (F.col("doc") == table.doc) & F.col("path").isin(_all_paths(table))
-
-
 def _all_paths(table: FlatTable) -> list[str]:
     return [table.ancestor, *[table.ancestor + s for s in _paths(table.fields).values()], *[table.ancestor + s + "[]" for s in _paths(table.lists).values()]]
