@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from siltworks.session import scratch_path
+from siltworks.session import stored
 
 #: One copy in the whole-number units in which sums are kept, so that they are exact.
 UNIT = 1 << 24
@@ -26,20 +26,20 @@ def clean_source(source: Column) -> Column:
     return F.lower(F.regexp_replace(source, r"^\s+|\s+$", ""))
 
 
-def systematic_copies(df: DataFrame, strata: Sequence[str], expected: str, order: Sequence[Column], size: str | None = None, offsets: int = 32, seed: int = 11) -> DataFrame:
+def systematic_copies(df: DataFrame, strata: Sequence[str], expected: str, order: Sequence[Column], seed: int = 11) -> DataFrame:
     """The rows that are drawn, with `copies` (at least 1), by systematic sampling within each stratum.
 
     `expected` is a column of expected copies: null, NaN or negative counts as 0. A row gets its expectation
-    rounded down or up, hence never more than the next whole number. With `size`, that many random offsets are
-    tried in one pass and each stratum takes the one whose draw comes closest to its expected size. Rows equal in `order` come in any order
-    within one run, repeated rows are rows of their own, null strata are strata. Empty in, empty out.
+    rounded down or up, hence never more than the next whole number, and on average over offsets exactly its
+    expectation: a stratum has one random offset, told by `seed`. Rows equal in `order` come in any order within one
+    run, repeated rows are rows of their own, null strata are strata. Empty in, empty out.
     """
     spark = df.sparkSession
     e = F.col(expected).cast("double")
     units = F.when(e.isNull() | F.isnan(e) | (e < 0), F.lit(0)).otherwise(F.round(e * UNIT)).cast("bigint")
     keys = [F.col(c) for c in strata]
     sort = [F.xxhash64(*keys), *keys, *order]
-    ranged = df.withColumn("__units", units).withColumn("__stratum", F.xxhash64(*keys)).repartitionByRange(*sort).sortWithinPartitions(*sort)
+    ranged = df.withColumn("__units", units).withColumn("__stratum", F.xxhash64(*keys)).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *sort).sortWithinPartitions(*sort)
     ranged = ranged.withColumn("__part", F.spark_partition_id())
     schema = StructType([*ranged.schema.fields, StructField("__sum", LongType())])
 
@@ -67,9 +67,7 @@ def systematic_copies(df: DataFrame, strata: Sequence[str], expected: str, order
             last, carried = tuple(c[-1].as_py() for c in cols), int(out[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], schema=batch.schema.append(pa.field("__sum", pa.int64())))
 
-    path = scratch_path(spark, "systematic")
-    ranged.mapInArrow(running, schema).write.parquet(path)
-    rows = spark.read.schema(schema).parquet(path)
+    rows = stored(ranged.mapInArrow(running, schema), "systematic")
     parts = rows.groupBy("__part", *strata).agg(F.sum("__units").alias("__total"))
     upto = Window.partitionBy(*strata).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("__base", F.coalesce(F.sum("__total").over(upto), F.lit(0)))
@@ -78,22 +76,9 @@ def systematic_copies(df: DataFrame, strata: Sequence[str], expected: str, order
     for i, c in enumerate(strata):
         same &= F.col(c).eqNullSafe(F.col(f"__k{i}"))
 
-    def offset(k: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), k, F.col("__stratum")), F.lit(UNIT))
-
-    def copies(at: Column) -> Column:
-        upper = F.col("__upto") + at
-        return F.shiftright(upper, 24) - F.shiftright(upper - F.col("__units"), 24)
-
-    placed = rows.join(parts, same).withColumn("__upto", F.col("__base") + F.col("__sum"))
-    if size is None:
-        chosen = placed.withColumn("__offset", offset(F.lit(0)))
-    else:
-        amount = F.coalesce(F.col(size).cast("double"), F.lit(0.0))
-        off = [F.abs(F.sum((copies(offset(F.lit(k))) - F.col("__units") / UNIT) * amount)) for k in range(offsets)]
-        best = placed.groupBy("__stratum").agg(F.array(*off).alias("__off")).select("__stratum", (F.array_position("__off", F.array_min("__off")) - 1).cast("int").alias("__best"))
-        chosen = placed.join(best, "__stratum").withColumn("__offset", offset(F.col("__best")))
-    drawn = chosen.withColumn("copies", copies(F.col("__offset")))
+    offset = F.pmod(F.xxhash64(F.lit(seed), "__stratum"), F.lit(UNIT))
+    upper = F.col("__base") + F.col("__sum") + offset
+    drawn = rows.join(parts, same).withColumn("copies", F.shiftright(upper, 24) - F.shiftright(upper - F.col("__units"), 24))
     return drawn.where(F.col("copies") > 0).select(*df.columns, "copies")
 
 

@@ -1,7 +1,7 @@
 """Filling containers of fixed capacity: vector best fit over shards of bounded size.
 
 An item uses three capacities of its container: tokens, number of documents, and attention cost (the square
-of its tokens). Items are dealt by hash into shards of about `shard_items`; within a shard, items go largest
+of its tokens). An item that by itself exceeds a capacity other than tokens has a container of its own. Items are dealt by hash into shards of about `shard_items`; within a shard, items go largest
 first into the feasible bin that best fits in all three. Bins that are full enough are final; the items of the
 others are dealt again into fewer shards, round by round, so that the space left over is that of a few bins
 whatever the number of shards. No step collects an unbounded group.
@@ -32,10 +32,14 @@ class Fit:
     rule: str = "norm"
     weights: tuple[float, float, float] = (1.0, 0.02, 0.02)
     #: documents that a container takes per token of capacity, and at least
-    documents_per_token: float = 1 / 8
+    documents_per_token: float = 1 / 32
     least_documents: int = 8
-    #: attention cost that a container takes, as a share of the square of its capacity; at least 1, else full items don't fit
-    attention_share: float = 1.0
+    #: attention cost that a container takes, as a share of the square of its capacity
+    attention_share: float = 0.9
+
+    def limits(self, capacity: int) -> tuple[float, float, float]:
+        """Tokens, documents and attention cost that a container of this capacity takes."""
+        return float(capacity), max(self.least_documents, capacity * self.documents_per_token), self.attention_share * float(capacity) ** 2
 
 
 def items_of(documents: DataFrame, containers: Sequence[tuple[str, int]], vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -52,8 +56,8 @@ def items_of(documents: DataFrame, containers: Sequence[tuple[str, int]], vocabu
 def best_fit(tokens: np.ndarray, capacity: int, fit: Fit = Fit()) -> np.ndarray:
     """The bin of each item. Items are tried in the order given; each goes into the best open bin that it fits."""
     n = len(tokens)
-    cap = np.array([capacity, max(fit.least_documents, capacity * fit.documents_per_token), fit.attention_share * float(capacity) ** 2])
-    need = np.stack([tokens / cap[0], np.full(n, 1 / cap[1]), tokens.astype(float) ** 2 / cap[2]], axis=1)
+    cap = fit.limits(capacity)
+    need = np.stack([tokens / cap[0], np.full(n, 1 / cap[1]), np.minimum(tokens.astype(float) ** 2 / cap[2], 1.0)], axis=1)
     w = np.array(fit.weights)
     smallest = np.minimum.accumulate(tokens[::-1])[::-1] / cap[0]
     left, ids = np.empty((64, 3)), np.empty(64, dtype=np.int64)
@@ -80,7 +84,7 @@ def best_fit(tokens: np.ndarray, capacity: int, fit: Fit = Fit()) -> np.ndarray:
 def pack(items: DataFrame, fit: Fit = Fit(), shard_items: int = 4096, full: float = 0.99, rounds: int = 5, seed: int = 7) -> DataFrame:
     """The items with their `bin` (unique per container) and the bin's tokens.
 
-    No bin exceeds its capacity in tokens, documents or attention cost. Items of equal size are placed in the
+    No bin exceeds its capacity in tokens or documents, nor that in attention cost but for bins of one item. Items of equal size are placed in the
     order of their ids and pieces. Repeated rows are items of their own. An empty input gives an empty result.
     `full` is the share of the capacity from which a bin is final before the last round.
     """
@@ -115,8 +119,27 @@ def pack(items: DataFrame, fit: Fit = Fit(), shard_items: int = 4096, full: floa
 _ITEM_COLUMNS = [c.split()[0] for c in _ITEM.split(", ")]
 
 
-def fill_report(packed: DataFrame) -> DataFrame:
-    """Per container: bins used, tokens placed, and the share of the bins' capacity that is used."""
-    return packed.groupBy("container", "capacity").agg(
-        F.countDistinct("bin").alias("bins"), F.count("*").alias("items"), F.sum(F.col("tokens").cast("bigint")).alias("tokens")
-    ).withColumn("least_bins", F.ceil(F.col("tokens") / F.col("capacity"))).withColumn("fill", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 6))
+def fill_report(packed: DataFrame, fit: Fit = Fit()) -> DataFrame:
+    """Per container: bins used, tokens placed, the share of the bins' capacity that is used, and the bins at their limits
+    of documents and of attention cost (97 % and more of it)."""
+    tokens = F.col("tokens").cast("bigint")
+    bins = packed.groupBy("container", "capacity", "bin").agg(F.count("*").alias("n"), F.sum(tokens).alias("t"), F.sum(tokens * tokens).alias("a"))
+    documents = F.greatest(F.lit(fit.least_documents), F.floor(F.col("capacity") * F.lit(fit.documents_per_token)))
+    attention = F.col("capacity").cast("double") ** 2 * F.lit(0.97 * fit.attention_share)
+    totals = bins.groupBy("container", "capacity").agg(
+        F.count("*").alias("bins"), F.sum("n").alias("items"), F.sum("t").alias("tokens"),
+        F.count_if(F.col("n") >= documents).alias("bins_full_of_documents"), F.count_if(F.col("a") >= attention).alias("bins_full_of_attention"),
+    )
+    return totals.withColumn("least_bins", F.ceil(F.col("tokens") / F.col("capacity"))).withColumn("fill", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 6))
+
+
+def placement_report(packed: DataFrame, fit: Fit = Fit()) -> DataFrame:
+    """Per container: the documents placed, and what must be none: bins over a capacity, texts cut needlessly or with gaps."""
+    tokens = F.col("tokens").cast("bigint")
+    bins = packed.groupBy("container", "capacity", "bin").agg(F.count("*").alias("n"), F.sum(tokens).alias("t"), F.sum(tokens * tokens).alias("a"))
+    most = F.greatest(F.lit(float(fit.least_documents)), F.col("capacity") * F.lit(fit.documents_per_token))
+    over = (F.col("t") > F.col("capacity")) | (F.col("n") > most) | ((F.col("n") > 1) & (F.col("a") > F.col("capacity").cast("double") ** 2 * F.lit(fit.attention_share)))
+    texts = packed.groupBy("container", "capacity", "doc_id").agg(F.count("*").alias("n"), F.sum(tokens).alias("t"), F.max(F.col("start_token") + tokens).alias("end"), F.max("piece").alias("last"))
+    odd = ((F.col("n") > 1) & (F.col("t") <= F.col("capacity"))) | (F.col("end") != F.col("t")) | (F.col("last") + 1 != F.col("n"))
+    bad = bins.groupBy("container").agg(F.count_if(over).alias("overfull_bins"))
+    return texts.groupBy("container").agg(F.count("*").alias("documents"), F.count_if(odd).alias("badly_cut")).join(bad, "container")

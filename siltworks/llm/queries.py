@@ -9,7 +9,7 @@ from siltworks.llm.authored import not_typed
 from siltworks.llm.credentials import find_credentials, redact, step_report
 from siltworks.llm.mixing import clean_source, draw_plan, systematic_copies
 from siltworks.llm.mojibake import repair_encoding
-from siltworks.llm.packing import fill_report, items_of, pack
+from siltworks.llm.packing import fill_report, items_of, pack, placement_report
 from siltworks.llm.subjects import assign, document_words, fit
 from siltworks.llm.tokens import token_count
 from siltworks.llm.topn import skip_report, top_n_per_group
@@ -120,9 +120,15 @@ def p5_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return step_report(_texts(spark, sf_dir))
 
 
+#: kinds of containers that one run packs for; more are an error, none is left out
+MOST_CONTAINERS = 1000
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text, or piece of a text above the capacity, with its bin, for each kind of container."""
-    containers = [(r["container"], r["capacity_tokens"]) for r in table(spark, sf_dir, "containers").limit(1000).collect()]
+    containers = [(r["container"], r["capacity_tokens"]) for r in table(spark, sf_dir, "containers").limit(MOST_CONTAINERS + 1).collect()]
+    if len(containers) > MOST_CONTAINERS:
+        raise ValueError(f"more than {MOST_CONTAINERS} kinds of containers")
     return pack(materialize(items_of(table(spark, sf_dir, "documents"), containers)))
 
 
@@ -131,6 +137,16 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p6_packed(spark, sf_dir))
 
 
+def p6_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind of container: all documents are placed, no bin is over a capacity, no text is cut without need."""
+    return placement_report(p6_packed(spark, sf_dir))
+
+
+P6_PLACED_SQL = """
+SELECT container, (SELECT count(DISTINCT doc_id) FROM documents WHERE text IS NOT NULL) AS documents, 0 AS badly_cut, 0 AS overfull_bins FROM containers
+"""
+
+
 def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The documents drawn for every mixture with their copies, and the plan they were drawn by."""
     docs = widen(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -138,7 +154,7 @@ def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     sizes = docs.groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.col("tokens").cast("bigint")).alias("tokens"))
     plan = materialize(draw_plan(sizes, table(spark, sf_dir, "mixtures"), table(spark, sf_dir, "mix_targets")))
     offered = docs.join(plan.select("mixture", "source", "expected"), "source")
-    return systematic_copies(offered, ["mixture", "source"], "expected", [F.col("tokens"), F.xxhash64("doc_id")], size="tokens"), plan
+    return systematic_copies(offered, ["mixture", "source"], "expected", [F.col("tokens"), F.xxhash64("doc_id")]), plan
 
 
 def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,6 +179,22 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per mixture and source: its documents, and what must be none: those drawn too often, or a copy or more off what is expected."""
+    drawn, plan = _drawn(spark, sf_dir)
+    off = F.abs(F.col("copies") - F.col("expected")) >= 1
+    got = drawn.join(plan.select("mixture", "source", "max_repeats"), ["mixture", "source"]).groupBy("mixture", "source").agg(F.count_if(F.col("copies") > F.col("max_repeats")).alias("too_often"), F.count_if(off).alias("off_expectation"))
+    rows = plan.select("mixture", "source", F.col("docs").alias("source_docs")).join(got, ["mixture", "source"], "left")
+    return rows.fillna(0, ["too_often", "off_expectation"])
+
+
+P7_BOUNDS_SQL = """
+WITH d AS (SELECT lower(trim(source)) AS source, count(*) AS n FROM documents GROUP BY 1)
+SELECT t.mixture, lower(trim(t.source)) AS source, coalesce(d.n, 0) AS source_docs, 0 AS too_often, 0 AS off_expectation
+FROM mix_targets t LEFT JOIN d ON d.source = lower(trim(t.source))
+"""
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subjects that each document deals with."""
     return assign(*fit(document_words(table(spark, sf_dir, "documents")), table(spark, sf_dir, "subject_labels")))
@@ -173,9 +205,15 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_found(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"))
 
 
+_QUERIES = [
+    p1_found, p1_skipping, p2_found, p2_kinds, p4_found, p4_repaired, p5_found, p5_redacted, p5_steps,
+    p6_packed, p6_fill, p6_placed, p7_mixed, p7_shares, p7_bounds, p8_found, p8_composition,
+]
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_skipping": p1_skipping, "p2_found": p2_found, "p2_kinds": p2_kinds, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_redacted": p5_redacted, "p5_steps": p5_steps, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
+    return {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {"p1_found": P1_FOUND_SQL}
+    return {"p1_found": P1_FOUND_SQL, "p6_placed": P6_PLACED_SQL, "p7_bounds": P7_BOUNDS_SQL}

@@ -1,10 +1,12 @@
 import numpy as np
 import pytest
+from compare import connection, same
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltworks.llm.packing import Fit, best_fit, fill_report, items_of, pack
+from siltworks.llm.packing import Fit, best_fit, fill_report, items_of, pack, placement_report
+from siltworks.llm.queries import oracle_sql, queries
 from siltworks.llm.tokens import DEFAULT_VOCABULARY, encoder, token_count
 
 
@@ -12,7 +14,7 @@ from siltworks.llm.tokens import DEFAULT_VOCABULARY, encoder, token_count
 @given(st.lists(st.integers(0, 100), min_size=1, max_size=700), st.sampled_from(["norm", "dot"]))
 def test_every_constraint_holds(sizes, rule):
     sizes = np.array(sorted(sizes, reverse=True))
-    fit = Fit(rule=rule)
+    fit = Fit(rule=rule, documents_per_token=1 / 8, attention_share=1.0)
     bins = best_fit(sizes, 100, fit)
     used, held = np.bincount(bins, sizes), np.bincount(bins)
     assert len(bins) == len(sizes) and used.max() <= 100 and held.max() <= 12 and np.bincount(bins, sizes.astype(float) ** 2).max() <= 100**2
@@ -20,6 +22,16 @@ def test_every_constraint_holds(sizes, rule):
     assert half.sum() <= 1  # two such bins would have been one
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_each_capacity_can_be_the_one_that_binds(rule):
+    fit = Fit(rule=rule, documents_per_token=1 / 10, least_documents=1, attention_share=0.5)
+    held = lambda sizes: np.bincount(best_fit(np.array(sizes), 100, fit)).tolist()
+    assert held([1] * 25) == [10, 10, 5]  # documents
+    assert held([60, 40, 40]) == [1, 2]  # attention: 60 and 40 have tokens for each other, but cost too much
+    assert held([90, 10, 10]) == [1, 2]  # too heavy for it by itself: alone
+    assert held([50, 25, 25]) == [3]  # tokens
+
+
 def test_texts_are_whole_unless_above_the_capacity(spark):
     long = "é word " * 900
     docs = spark.createDataFrame([(1, "short text"), (2, ""), (3, None), (4, long), (5, "same"), (5, "same"), (6, "日本語" * 200)], "doc_id int, text string")
@@ -48,3 +60,15 @@ def test_rounds_fill_the_bins_and_lose_nothing(spark):
 @pytest.mark.parametrize("text, n", [("", 0), (None, None), ("hello world", 2)])
 def test_counts(spark, text, n):
     assert spark.createDataFrame([(text,)], "t string").select(token_count(F.col("t"))).first()[0] == n
+
+
+def test_placement_report_tells_faults(spark):
+    rows = [("c", 64, 1, 0, 0, 60, "b0", 60), ("c", 64, 2, 0, 0, 60, "b0", 60), ("c", 64, 3, 0, 0, 10, "b1", 60), ("c", 64, 3, 1, 10, 10, "b1", 60)]
+    packed = spark.createDataFrame(rows, "container string, capacity int, doc_id bigint, piece int, start_token bigint, tokens int, bin string, bin_tokens bigint")
+    r = placement_report(packed).first()
+    assert (r["documents"], r["badly_cut"], r["overfull_bins"]) == (3, 1, 1)
+
+
+@pytest.mark.parametrize("name", ["p6_placed", "p7_bounds"])
+def test_invariants_equal_their_sql(spark, name):
+    same(spark, connection(), queries()[name], oracle_sql()[name])
