@@ -39,6 +39,11 @@ class Tokens:
     number: np.ndarray
     data: np.ndarray
 
+    @property
+    def apart(self) -> np.ndarray:
+        """Whether a blank stands before the token."""
+        return np.r_[True, self.begin[1:] > self.begin[:-1] + self.size[:-1]] if len(self.begin) else np.zeros(0, bool)
+
 
 def tokenize(texts: list[bytes]) -> Tokens:
     """The tokens of the texts; a text without any has none."""
@@ -67,30 +72,51 @@ def tokenize(texts: list[bytes]) -> Tokens:
     return Tokens(np.searchsorted(ends, begin, side="right"), begin, size, _mix(h), word, number, data)
 
 
-def infer(text: np.ndarray, symbols: np.ndarray, texts: int, rounds: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: length of its start rule, number of rules, greatest reuse of a rule (share of its tokens), depth."""
-    n0 = np.bincount(text, minlength=texts).astype(float)
-    rules, reuse, depth = np.zeros(texts, np.int64), np.zeros(texts), np.zeros(texts, np.int64)
-    t, s, w = text.astype(np.int64), symbols.copy(), np.ones(len(text), np.int64)
-    done_t = np.zeros(texts, np.int64)
-    for r in range(rounds):
-        n = len(s)
-        if n < 2:
-            break
+@dataclass
+class Grammars:
+    """The grammars of several texts.
+
+    By text: length of the start rule, number of rules, greatest reuse of a rule (share of the text's tokens), and the
+    share of blanks among the borders that rules close (whether the two parts of a replaced pair stood apart). By
+    token: whether a rule holds it. By symbol of the start rules, in order: text, tokens in it, and a hash of the
+    tokens that it expands to, which is the same in every text.
+    """
+
+    start: np.ndarray
+    rules: np.ndarray
+    reuse: np.ndarray
+    apart: np.ndarray
+    covered: np.ndarray
+    text: np.ndarray
+    width: np.ndarray
+    expansion: np.ndarray
+
+
+def infer(text: np.ndarray, symbols: np.ndarray, texts: int, apart: np.ndarray | None = None) -> Grammars:
+    """Grammars of texts whose tokens follow each other; `apart` tells which tokens have a blank before them.
+
+    Rounds go on until no pair repeats in any text.
+    """
+    n0 = np.maximum(np.bincount(text, minlength=texts), 1).astype(float)
+    gap = np.zeros(len(text), bool) if apart is None else apart
+    rules, reuse, closed, gaps = np.zeros(texts, np.int64), np.zeros(texts), np.zeros(texts), np.zeros(texts)
+    # of each symbol: text, name, first token, tokens, hash of its expansion, factor to shift a hash over it
+    t, s, first, w = text.astype(np.int64), symbols.copy(), np.arange(len(text)), np.ones(len(text), np.int64)
+    e, shift = symbols.copy(), np.full(len(text), _FACTOR)
+    done: list[tuple[np.ndarray, ...]] = []
+    while (n := len(s)) >= 2:
         pair = _mix(s[:-1] * np.uint64(3) + _mix(s[1:]) + t[:-1].astype(np.uint64) * _FACTOR)
-        valid = t[:-1] == t[1:]
-        at = np.flatnonzero(valid)
-        bits = max(1, int(n).bit_length())
-        key = np.sort((pair[at] >> np.uint64(bits) << np.uint64(bits)) | at.astype(np.uint64))
-        place = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
-        group = key >> np.uint64(bits)
+        at = np.flatnonzero(t[:-1] == t[1:])
+        bits = np.uint64(max(1, int(n).bit_length()))
+        key = np.sort((pair[at] >> bits << bits) | at.astype(np.uint64))
+        place = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        group = key >> bits
         edge = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
         count = np.diff(np.r_[np.flatnonzero(edge), len(group)])
-        many = np.repeat(count, count)
         counted = np.zeros(n, np.int64)
-        counted[place] = many
+        counted[place] = np.repeat(count, count)
         best = np.zeros(texts, np.int64)
-        np.maximum.at(best, t[place[edge]], count) if len(count) else None
+        np.maximum.at(best, t[place[edge]], count)
         # the frequent pairs of each text, and of overlapping ones the more frequent, then the left
         chosen = (counted >= 2) & (counted * 2 >= best[t])
         left = np.r_[0, counted[:-1]] * np.r_[False, chosen[:-1]]
@@ -99,46 +125,47 @@ def infer(text: np.ndarray, symbols: np.ndarray, texts: int, rounds: int = 24) -
         run = np.flatnonzero(chosen & ~np.r_[False, chosen[:-1]])
         if not len(run):
             break
-        start = np.zeros(n, np.int64)
-        start[run] = run
-        start = np.maximum.accumulate(start)
-        chosen &= (np.arange(n) - start) % 2 == 0
+        begin = np.zeros(n, np.int64)
+        begin[run] = run
+        begin = np.maximum.accumulate(begin)
+        chosen &= (np.arange(n) - begin) % 2 == 0
         where = np.flatnonzero(chosen)
-        sym, inv, used = np.unique(pair[where], return_index=True, return_counts=True)
+        _, inv, used = np.unique(pair[where], return_index=True, return_counts=True)
         rules += np.bincount(t[where[inv]], minlength=texts)
         size = w[where[inv]] + w[where[inv] + 1]
-        np.maximum.at(reuse, t[where[inv]], used * size / np.maximum(1, n0[t[where[inv]]]))
-        depth[np.unique(t[where])] = r + 1
+        np.maximum.at(reuse, t[where[inv]], used * size / n0[t[where[inv]]])
+        closed += np.bincount(t[where], minlength=texts)
+        gaps += np.bincount(t[where], gap[first[where + 1]], minlength=texts)
         s[where], w[where] = pair[where], w[where] + w[where + 1]
+        e[where], shift[where] = e[where] * shift[where + 1] + e[where + 1], shift[where] * shift[where + 1]
         keep = np.ones(n, bool)
         keep[where + 1] = False
-        t, s, w = t[keep], s[keep], w[keep]
-        # texts without a repeated pair are done
-        live = best >= 2
-        rest = live[t]
+        rest = best[t] >= 2  # texts without a repeated pair are done
         if not rest.all():
-            done_t += np.bincount(t[~rest], minlength=texts)
-            t, s, w = t[rest], s[rest], w[rest]
-    return done_t + np.bincount(t, minlength=texts), rules, reuse, depth
-
-
-def consistent_rules(text: np.ndarray, symbols: np.ndarray, levels: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rules that equal runs of tokens get in every text: (text, rule, tokens in it), in order.
-
-    At each level a pair becomes one symbol if its hash is less than those of the two pairs that overlap it, so
-    the choice hangs on nothing but the tokens around. After nine levels a rule holds some forty tokens.
+            over = keep & ~rest
+            done.append((t[over], first[over], w[over], e[over]))
+            keep &= rest
+        t, s, first, w, e, shift = t[keep], s[keep], first[keep], w[keep], e[keep], shift[keep]
+    done.append((t, first, w, e))
+    t, first, w, e = (np.concatenate(x) for x in zip(*done, strict=True))
+    o = np.argsort(first, kind="stable")
+    t, first, w, e = t[o], first[o], w[o], e[o]
+    covered = np.ones(len(text), bool)
+    covered[first[w == 1]] = False
+    return Grammars(np.bincount(t, minlength=texts), rules, reuse, gaps / np.maximum(closed, 1), covered, t, w, _mix(e))
+
+
+def segments(g: Grammars, every: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The start rules in segments that end with a symbol one in `every` of which ends one: text, hash, tokens of each.
+
+    A segment is a rule of its own, named by its symbols' expansions alone, so equal runs of symbols give equal
+    segments in every text; where texts differ, only the segments around the difference do.
     """
-    t, s, w = text.astype(np.int64), symbols.copy(), np.ones(len(text), np.int64)
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for level in range(levels):
-        if len(s) < 2:
-            break
-        pair = np.r_[_mix(s[:-1] * np.uint64(5) + _mix(s[1:]) + np.uint64(level)), top]
-        pair[:-1][t[:-1] != t[1:]] = top
-        chosen = (pair < np.r_[top, pair[:-1]]) & (pair < np.r_[pair[1:], top])
-        where = np.flatnonzero(chosen)
-        s[where], w[where] = pair[where], w[where] + w[where + 1]
-        keep = np.ones(len(s), bool)
-        keep[where + 1] = False
-        t, s, w = t[keep], s[keep], w[keep]
-    return t, s, w
+    if not len(g.text):
+        return g.text, g.expansion, g.width
+    last = (g.expansion % np.uint64(every) == 0) | np.r_[g.text[1:] != g.text[:-1], True]
+    begin = np.r_[0, np.flatnonzero(last)[:-1] + 1]
+    number = np.cumsum(np.r_[False, last[:-1]])
+    place = np.arange(len(last)) - begin[number]
+    term = _mix(g.expansion + (place.astype(np.uint64) + np.uint64(1)) * _FACTOR)
+    return g.text[begin], _mix(np.add.reduceat(term, begin)), np.add.reduceat(g.width, begin)

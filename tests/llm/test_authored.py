@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from siltworks.llm.authored import features, not_typed
-from siltworks.llm.repair_grammar import consistent_rules, infer, tokenize
+from siltworks.llm.repair_grammar import infer, segments, tokenize
 
 rnd = random.Random(1)
 NOUNS = "anchor badge bucket cursor folder ledger matrix packet quota runner socket ticket vector widget window".split()
@@ -47,20 +47,39 @@ def test_tokens():
 def test_no_pair_is_left_twice_and_batches_change_nothing(texts):
     raw = [b" ".join(bytes([c]) for c in t) for t in texts]
     t = tokenize(raw)
-    start, rules, reuse, _ = infer(t.text, t.hash, len(raw))
+    g = infer(t.text, t.hash, len(raw))
+    at = np.r_[0, np.cumsum(g.start)]
     for i, r in enumerate(raw):
         alone = tokenize([r])
-        s, n, u, _ = infer(alone.text, alone.hash, 1)
-        assert (s[0], n[0]) == (start[i], rules[i]) and u[0] == reuse[i]
-        assert start[i] <= len(texts[i]) and (start[i] < len(texts[i])) == (n[0] > 0)
-
-
-def test_same_run_has_the_same_rules():
+        h = infer(alone.text, alone.hash, 1)
+        assert (h.start[0], h.rules[0]) == (g.start[i], g.rules[i]) and h.reuse[0] == g.reuse[i]
+        assert g.start[i] <= len(texts[i]) and (g.start[i] < len(texts[i])) == (h.rules[0] > 0)
+        own = slice(at[i], at[i + 1])  # the start rule: all the text's tokens in order, and no pair of symbols again
+        assert (g.text[own] == i).all() and g.width[own].sum() == len(texts[i]) and (g.expansion[own] == h.expansion).all()
+        pairs = [(a, b, k) for k, (a, b) in enumerate(zip(g.expansion[own][:-1].tolist(), g.expansion[own][1:].tolist(), strict=True))]
+        places = {}
+        for a, b, k in pairs:
+            places.setdefault((a, b), []).append(k)
+        assert all(ks[-1] - ks[0] <= 1 for ks in places.values())  # but where it overlaps itself
+
+
+def test_equal_runs_have_equal_segments():
     body = typed(80)
-    a, b = tokenize([body.encode()]), tokenize([("other start of a text\n" + body).encode()])
-    ra, rb = consistent_rules(a.text, a.hash), consistent_rules(b.text, b.hash)
-    common = np.isin(ra[1], rb[1])
-    assert ra[2][common].sum() > 0.85 * ra[2].sum() and ra[2].sum() == len(a.text)
+    held = []
+    for text in (body, "other start of a text\n" + body):
+        t = tokenize([text.encode()])
+        held.append(segments(infer(t.text, t.hash, 1)))
+        assert held[-1][2].sum() == len(t.text)
+    common = np.isin(held[0][1], held[1][1])
+    assert held[0][2][common].sum() > 0.7 * held[0][2].sum()
+
+
+def test_a_kind_needs_its_grammar():
+    """Long words that repeat are no blob, numbers that no rule covers no dump, and dense marks with blanks not minified."""
+    word = "averyveryverylongidentifierword"
+    f, *_ = features([f"{word} {word}\n" * 60, DATA, MINIFIED, typed(60), "".join(f"{w} = 7\n" for w in NOUNS)])
+    assert f["literal_share"][0] == 0 and f["literal_share"][1] > 0.5
+    assert f["apart_share"][2] == 0 and f["apart_share"][3] > 0.2
 
 
 def test_features_of_nothing():
