@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import PySparkException
@@ -13,17 +14,26 @@ from siltworks.functions.text import lines
 
 
 def valid_patterns(spark: SparkSession, queries: Sequence[str]) -> dict[str, str]:
-    """Each query as a regular expression; one that is none stands for its own letters."""
+    """Each query as a regular expression; one that is none stands for its own letters. No job is run for it."""
+    compile_ = spark._jvm.java.util.regex.Pattern.compile
     out = {}
     for q in queries:
         try:
-            spark.range(1).select(F.lit("x").rlike(q)).collect()
+            compile_(q)
             out[q] = q
         except PySparkException:
             out[q] = "".join("\\" + c if not c.isalnum() and not c.isspace() else c for c in q)
     return out
 
 
+def may_match(spark: SparkSession, text: Column, queries: Sequence[str]) -> Column:
+    """Whether some line of the text can match a query: a test of the whole text, made before it is split into lines."""
+    patterns = valid_patterns(spark, queries).values()
+    if any(re.search(r"\\[AZzG]|\(\?<?[!=]", p) for p in patterns):  # these look beyond a line
+        return F.lit(True)
+    return text.rlike("(?im)" + "|".join(f"(?:{p})" for p in patterns))
+
+
 def file_lines(files: DataFrame, key: str, text: str) -> DataFrame:
     """One row per line: key, line_no from 1, line. Null texts have none."""
     return files.where(F.col(text).isNotNull()).select(key, F.posexplode(lines(F.col(text))).alias("n", "line")).select(key, (F.col("n") + 1).alias("line_no"), "line")
@@ -78,13 +88,19 @@ def glob_coverage(files: DataFrame, group: str, path: str, globs: Sequence[str])
 
 
 def findings_in_citations(citations: DataFrame, findings: DataFrame) -> DataFrame:
-    """Per citation `path:from-to` of a repository how many findings lie in its lines.
+    """Per citation `path:from-to` of a repository how many findings lie in its lines, and in how many lines.
 
-    Findings are counted per line before they meet the citations of their own file, so equal lines cost one row.
+    Findings are counted per line; running sums over the lines and the citations' ends of a file give each citation
+    the difference of two sums, so no citation meets the lines of its file one by one. Citations without any are left out.
     """
     c = citation_intervals(citations)
-    per_line = findings.where("line IS NOT NULL").groupBy("repo", "path", "line").agg(F.count("*").alias("n"))
-    return c.join(per_line, ["repo", "path"]).where(F.col("line").between(F.col("low"), F.col("high"))).groupBy("repo", "citation").agg(F.sum("n").alias("findings"), F.count("*").alias("lines"))
+    lines_ = findings.where("line IS NOT NULL").groupBy("repo", "path", F.col("line").alias("at")).agg(F.count("*").alias("n")).withColumns({"kind": F.lit(1), "citation": F.lit(None).cast("string")})
+    end = lambda pos, kind: F.struct(F.col(pos).alias("at"), F.lit(kind).alias("kind"))
+    ends = c.select("repo", "path", "citation", F.explode(F.array(end("low", 0), end("high", 2))).alias("e")).select("repo", "path", "citation", "e.*").withColumn("n", F.lit(0).cast("bigint"))
+    upto = Window.partitionBy("repo", "path").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = ends.unionByName(lines_).withColumns({"found": F.sum("n").over(upto), "held": F.sum((F.col("kind") == 1).cast("bigint")).over(upto)})
+    between = lambda v: F.max(F.when(F.col("kind") == 2, F.col(v))) - F.max(F.when(F.col("kind") == 0, F.col(v)))
+    return run.where("citation IS NOT NULL").groupBy("repo", "citation").agg(between("found").alias("findings"), between("held").alias("lines")).where("findings > 0")
 
 
 def citation_intervals(citations: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,12 +33,13 @@ def run_status(exit_code: Column, artifacts: Column, declared: Column, findings_
 
 
 def counting_run(runs: DataFrame, keys: Sequence[str], completed: Column, order: Sequence[Column]) -> DataFrame:
-    """Per key the run that counts: the first completed one in order, or the last if none completed."""
-    w = Window.partitionBy(*keys)
-    n, total, any_ok = F.row_number().over(w.orderBy(*order)), F.count("*").over(w), F.max(completed.cast("int")).over(w)
-    first_ok = F.row_number().over(w.orderBy(completed.desc(), *order))
-    ranked = runs.withColumns({"__n": n, "__total": total, "__any": any_ok, "__first": first_ok})
-    return ranked.where(F.when(F.col("__any") == 1, F.col("__first") == 1).otherwise(F.col("__n") == F.col("__total"))).drop("__n", "__total", "__any", "__first")
+    """Per key the run that counts: the first completed one in ascending order (nulls first), or the last if none completed.
+
+    One aggregation, combined on the map side, however many runs a key has.
+    """
+    row, at = F.struct(*runs.columns), F.struct(*order)
+    first_ok = F.min_by(row, F.when(F.coalesce(completed, F.lit(False)), at))
+    return runs.groupBy(*keys).agg(first_ok.alias("__ok"), F.max_by(row, at).alias("__last")).select(F.coalesce("__ok", "__last").alias("r")).select("r.*")
 
 
 def split_by_cache(requests: DataFrame, cache: DataFrame, key: str = "cache_key") -> tuple[DataFrame, DataFrame]:

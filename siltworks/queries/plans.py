@@ -41,15 +41,14 @@ def dependency_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schema_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged windows of each decision note, within a budget."""
-    docs = widen(table(spark, sf_dir, "documents").where("lower(trim(source)) IN ('adr_notes', 'howto_guides')").select("doc_id", "text"))
+    """Merged windows of each document, within a budget."""
+    docs = widen(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return S.schema_search(docs, "doc_id", "text", SCHEMA_QUERIES).withColumn("queries", F.array_join("queries", " ; "))
 
 
 def schema_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged windows of each document of any source, within a budget."""
-    docs = widen(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return S.schema_search(docs, "doc_id", "text", SCHEMA_QUERIES).withColumn("queries", F.array_join("queries", " ; "))
+    """The same by its former name."""
+    return schema_search(spark, sf_dir)
 
 
 def report_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +79,7 @@ def oracle_sql() -> dict:
         "dependency_inventory": r"""WITH l AS (SELECT file_id, repo, unnest(regexp_split_to_array(content, '\r\n|\n|\r')) AS l FROM loaded_files),
             e AS (SELECT file_id, repo, regexp_extract(l, '^  ([A-Za-z][\w./-]*)@([0-9][\w.+-]*):$', 1) AS name, regexp_extract(l, '^  ([A-Za-z][\w./-]*)@([0-9][\w.+-]*):$', 2) AS version FROM l WHERE regexp_matches(l, '^  ([A-Za-z][\w./-]*)@([0-9][\w.+-]*):$'))
             SELECT name, count(DISTINCT repo) AS repos, count(DISTINCT file_id) AS files, count(DISTINCT version) AS versions, count(*) AS entries FROM e GROUP BY name""",
-        "schema_search": f"""WITH d AS (SELECT doc_id, {split} AS ls FROM documents WHERE text IS NOT NULL AND lower(trim(source)) IN ('adr_notes', 'howto_guides')), l AS (SELECT doc_id, i AS n, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+        "schema_search": f"""WITH d AS (SELECT doc_id, {split} AS ls FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, i AS n, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
             o AS (SELECT doc_id, greatest(1, n - 2) AS s, n + 2 AS e, q.query FROM l, (VALUES {q}) AS q(query) WHERE regexp_matches(line, '(?i)' || q.query)), a AS ({merge('o', 'doc_id, query', 'count(*)')}),
             b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, query ORDER BY s) AS k FROM a), c AS (SELECT doc_id, query, s, e, m FROM b WHERE k <= 20), g AS ({merge('c', 'doc_id', 'sum(m)')}),
             w AS (SELECT g.doc_id, s, least(e, len(ls)) AS e, m, qs, (list_sum(list_transform(ls[s:least(e, len(ls))], lambda x: length(x))) + least(e, len(ls)) - s)::BIGINT AS chars FROM g JOIN d ON d.doc_id = g.doc_id),
@@ -91,5 +90,4 @@ def oracle_sql() -> dict:
             SELECT s.repo, '{"repo":"' || s.repo || '","summary":{"findings":' || coalesce(f.n, 0) || ',"worst":' || coalesce(f.w, 0) || '},"evidence":{"files":' || coalesce(l.n, 0) || ',"paths":' || coalesce(l.p, 0) || '},"results":' || coalesce(r.n, 0) || '}' AS report
             FROM repo_signals s LEFT JOIN f ON f.repo = s.repo LEFT JOIN l ON l.repo = s.repo LEFT JOIN r ON r.repo = s.repo""",
     }
-    every = sql["schema_search"].replace(" AND lower(trim(source)) IN ('adr_notes', 'howto_guides')", "")
-    return sql | {"schema_search_all": every}
+    return sql | {"schema_search_all": sql["schema_search"]}

@@ -39,8 +39,8 @@ def report_generic_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_text_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _findings(spark, sf_dir).where("line IS NOT NULL AND file IS NOT NULL")
-    line = F.concat(F.lit("checked 1 file\n"), "file", F.lit(":"), "line", F.lit(":1: E"), F.pmod("report_id", F.lit(900)), F.lit("  "), "message", F.lit("\r\n"))
+    f = _findings(spark, sf_dir)
+    line = F.concat(F.lit("checked 1 file\n"), F.coalesce("file", F.lit("")), F.lit(":"), F.coalesce("line", F.lit(0)), F.lit(":1: E"), F.pmod("report_id", F.lit(900)), F.lit("  "), "message", F.lit("\r\n"))
     return R.parse_flake8(f.select("report_id", line.alias("body")))
 
 
@@ -73,7 +73,7 @@ def oracle_sql() -> dict:
         "report_eslint_parse": f"SELECT finding_id AS report_id, CASE finding_id % 4 WHEN 1 THEN 'warning' WHEN 2 THEN 'error' WHEN 0 THEN 'info' ELSE '3' END AS severity, {e('rule_id', 'eslint')} AS rule_id, {path}, coalesce(line, 0)::INT AS line, {e('message', 'ESLint issue.')} AS message FROM findings",
         "report_generic_parse": f"""SELECT finding_id AS report_id, CASE WHEN finding_id % 4 = 2 THEN 'unknown' ELSE lower({e('severity', 'unknown')}) END AS severity, {e('rule_id', 'unknown')} AS rule_id, {path}, coalesce(line, 0)::INT AS line, {e('message', 'Finding.')} AS message
             FROM findings WHERE finding_id % 4 < 3 AND finding_id % 7 <> 0""",
-        "report_text_parse": "SELECT finding_id AS report_id, 'warning' AS severity, 'E' || (finding_id % 900) AS rule_id, coalesce(ltrim(replace(file, '\\', '/'), './'), '') AS file, line::INT AS line, trim(message) AS message FROM findings WHERE line IS NOT NULL AND file IS NOT NULL",
+        "report_text_parse": "SELECT finding_id AS report_id, 'warning' AS severity, 'E' || (finding_id % 900) AS rule_id, coalesce(ltrim(replace(file, '\\', '/'), './'), '') AS file, coalesce(line, 0)::INT AS line, trim(message) AS message FROM findings",
         "report_xml_parse": f"SELECT finding_id AS report_id, lower({e('trim(severity)', 'warning')}) AS severity, {e('rule_id', 'checkstyle')} AS rule_id, {path}, coalesce(line, 0)::INT AS line, {e('message', 'Checkstyle issue.')} AS message FROM findings",
         "report_stream_parse": "SELECT run_id AS report_id, 'error' AS severity, 'test_fail' AS rule_id, repo AS file, 0::INT AS line, trim(repo || '::' || tool || ' ' || trim(coalesce(reason, ''))) AS message FROM tool_results WHERE status = 'tool_failed'",
     }

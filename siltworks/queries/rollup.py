@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.operators import rollup as R
@@ -29,8 +29,11 @@ def leaf_weight_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _groups(spark: SparkSession, sf_dir: str, policy: R.Policy) -> DataFrame:
-    leaves = R.scored_leaves(table(spark, sf_dir, "group_results"), table(spark, sf_dir, "leaf_definitions"))
-    return R.group_scores(leaves, _RUN, policy)
+    return _group_scores(spark, sf_dir, table(spark, sf_dir, "group_results"), policy)
+
+
+def _group_scores(spark: SparkSession, sf_dir: str, runs: DataFrame, policy: R.Policy) -> DataFrame:
+    return R.group_scores(R.scored_leaves(runs, table(spark, sf_dir, "leaf_definitions")), _RUN, policy)
 
 
 def rollup_group(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
@@ -41,9 +44,8 @@ def rollup_group(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
 def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Module scores per repository, from the latest result of each group; a group weighs as many leaves as it has."""
     runs = table(spark, sf_dir, "group_results")
-    last = Window.partitionBy("repo", "module_id", "group_id").orderBy(F.col("finished_at").desc_nulls_last(), F.col("result_id").desc())
-    latest = runs.select(*_RUN, "finished_at").withColumn("n", F.row_number().over(last)).where("n = 1").select("result_id")
-    groups = _groups(spark, sf_dir, POLICIES["exclude"]).join(latest, "result_id")
+    latest = runs.groupBy("repo", "module_id", "group_id").agg(F.max_by("result_id", F.struct("finished_at", "result_id")).alias("result_id"))
+    groups = _group_scores(spark, sf_dir, runs.join(latest.select("result_id"), "result_id", "left_semi"), POLICIES["exclude"])
     return R.module_scores(groups.withColumn("weight", F.col("leaves").cast("double")), ["repo", "module_id"], "weight")
 
 

@@ -52,7 +52,7 @@ def tool_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tool_first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per repository and class the first completed run by time, or the last failed one."""
     runs = _classified(spark, sf_dir)
-    return T.counting_run(runs, ["repo", "evidence_class"], F.col("v.status") == "completed", [F.col("started_at").asc_nulls_last(), F.col("run_id")]).select("repo", "evidence_class", "run_id", F.col("v.status").alias("status"))
+    return T.counting_run(runs, ["repo", "evidence_class"], F.col("v.status") == "completed", [F.col("started_at").isNull(), F.col("started_at"), F.col("run_id")]).select("repo", "evidence_class", "run_id", F.col("v.status").alias("status"))
 
 
 def tool_missing_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:

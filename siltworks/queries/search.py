@@ -34,7 +34,8 @@ def path_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = widen(_files(spark, sf_dir)).where(~P.is_build_output(F.col("path")) & ~X.looks_minified(F.col("content")))
+    able = ~P.is_build_output(F.col("path")) & S.may_match(spark, F.col("content"), QUERIES)
+    files = widen(_files(spark, sf_dir).where(able)).where(~X.looks_minified(F.col("content")))
     return S.occurrences(S.file_lines(files, "file_id", "content"), "file_id", QUERIES)
 
 

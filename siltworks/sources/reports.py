@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.functions.paths import plain
 from siltworks.functions.text import lines
+from siltworks.session import scratch_path
 
 #: Where reports of unknown tools keep their findings.
 USUAL_KEYS = ("results", "issues", "findings", "warnings", "diagnostics", "problems", "vulnerabilities")
@@ -223,11 +225,12 @@ PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def parse_reports(reports: DataFrame) -> DataFrame:
-    """Reports (report_id, format, body) of all known formats; those of unknown formats are read as generic."""
+    """Reports (report_id, format, body) of all known formats; those of unknown formats are read as generic.
+
+    The reports are written once, apart by format, so each parser reads the bodies of its own format alone.
+    """
     known = F.when(F.col("format").isin(*PARSERS), F.col("format")).otherwise("generic")
-    marked = reports.withColumn("__format", known)
-    out = None
-    for name, parse in PARSERS.items():
-        part = parse(marked.where(F.col("__format") == name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    path = scratch_path(reports.sparkSession, "reports")
+    reports.select("report_id", "body", known.alias("__format")).write.partitionBy("__format").parquet(path)
+    apart = reports.sparkSession.read.schema(reports.select("report_id", "body", F.lit("").alias("__format")).schema).parquet(path)
+    return reduce(DataFrame.unionByName, [parse(apart.where(F.col("__format") == name)) for name, parse in PARSERS.items()])
