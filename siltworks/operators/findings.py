@@ -11,7 +11,10 @@ from siltworks.functions.paths import plain, segments
 
 #: The rank of each severity word, and directories outside the scope of findings.
 SEVERITY_RANKS = {"critical": 5, "error": 4, "high": 4, "warning": 3, "medium": 3, "low": 2, "info": 1, "note": 1}
-OUT_OF_SCOPE = ("node_modules", "vendor", "dist", "build", "target", "coverage", "third_party", "site-packages")
+OUT_OF_SCOPE = (
+    ".cache", ".mypy_cache", ".next", ".nuxt", ".pytest_cache", ".ruff_cache", ".venv", ".yarn", "__pycache__", "bower_components", "build", "coverage", "dist", "jspm_packages",
+    "node_modules", "target", "vendor", "venv",
+)
 
 
 def severity_word(severity: Column) -> Column:

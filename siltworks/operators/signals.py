@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 LANGUAGES = {
     ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go", ".java": "java", ".php": "php", ".rb": "ruby", ".rs": "rust",
     ".cs": "csharp", ".kt": "kotlin", ".swift": "swift", ".scala": "scala", ".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp", ".dart": "dart",
+    ".mjs": "javascript", ".cjs": "javascript", ".kts": "kotlin", ".cc": "cpp", ".cxx": "cpp", ".hh": "cpp", ".hxx": "cpp",
 }
 
 
