@@ -187,7 +187,7 @@ def parse_npm_audit(reports: DataFrame, body: str = "body") -> DataFrame:
     return v.unionByName(a)
 
 
-def _xml(reports: DataFrame, body: str, schema: str) -> Column:
+def _xml(reports: DataFrame | None, body: str, schema: str) -> Column:
     return F.from_xml(body, schema, {"mode": "PERMISSIVE"})
 
 
@@ -217,10 +217,66 @@ def parse_trx(reports: DataFrame, body: str = "body") -> DataFrame:
     return rows.select("report_id", F.lit("error").alias("severity"), F.lit("test_failure").alias("rule_id"), F.lit("").alias("file"), F.lit(0).alias("line"), F.coalesce("r._testName", F.lit("")).alias("message"))
 
 
+def parse_composer_audit(reports: DataFrame, body: str = "body") -> DataFrame:
+    """As generic; of a report that has nothing there, the advisories by package."""
+    usual = parse_json(reports, JSON_FORMATS["generic"], body)
+    rows = reports.select("report_id", F.try_parse_json(body).alias("v")).where("v IS NOT NULL")
+    each = rows.select("report_id", F.explode(F.map_entries(F.try_variant_get("v", "$.advisories", "map<string, array<variant>>"))).alias("x")).select("report_id", F.col("x.key").alias("k"), F.explode("x.value").alias("e"))
+    e = F.col("e")
+    found = each.where(F.schema_of_variant("e").startswith("OBJECT")).select(
+        "report_id", F.lower(F.coalesce(_text(e, "$.severity"), F.lit("high"))).alias("severity"), F.coalesce(_text(e, "$.cve", "$.id", "$.link"), F.lit("advisory")).alias("rule_id"),
+        F.col("k").alias("file"), F.lit(0).alias("line"), F.coalesce(_text(e, "$.title", "$.summary"), F.lit("Composer advisory")).alias("message"),
+    )
+    return usual.unionByName(found.join(usual.select("report_id").distinct(), "report_id", "left_anti"))
+
+
+def lizard_functions(body: str) -> Column:
+    """The functions of a complexity report, most complex first: ARRAY<STRUCT<ccn, ncss, file, line, func>> with the first two negated."""
+    x = _xml(None, body, "measure array<struct<_type string, item array<struct<_name string, value array<string>>>>>")
+    of = F.filter(x["measure"], lambda m: F.lower(F.trim(m["_type"])) == "function")
+    items = F.filter(F.get(of, F.lit(0))["item"], lambda i: F.size(i["value"]) >= 3)
+    at = r"^(.+?)\s+at\s+(.*?):(\d+)\s*$"
+    number = lambda v: F.coalesce(F.trim(v).try_cast("double").cast("int"), F.lit(0))
+
+    def one(i: Column) -> Column:
+        named = i["_name"].rlike(at)
+        part = lambda g: F.regexp_extract(i["_name"], at, g)
+        return F.struct(
+            (-number(F.get(i["value"], F.lit(2)))).alias("ccn"), (-number(F.get(i["value"], F.lit(1)))).alias("ncss"), F.when(named, plain(F.trim(part(2)))).otherwise("").alias("file"),
+            F.when(named, F.coalesce(part(3).try_cast("int"), F.lit(0))).otherwise(0).alias("line"), F.when(named, F.trim(part(1))).otherwise(F.coalesce(i["_name"], F.lit(""))).alias("func"),
+        )
+
+    return F.array_sort(F.transform(items, one))
+
+
+def parse_lizard(reports: DataFrame, body: str = "body", most: int = 25) -> DataFrame:
+    """The most complex functions of each report: by complexity, then statements, file and line."""
+    rows = reports.select("report_id", F.explode(F.slice(lizard_functions(body), 1, most)).alias("f"))
+    said = F.concat(F.lit("CCN="), -F.col("f.ccn"), F.lit(" NCSS="), -F.col("f.ncss"), F.lit(" "), F.col("f.func"))
+    return rows.select("report_id", F.lit("info").alias("severity"), F.lit("complexity_hotspot").alias("rule_id"), F.col("f.file").alias("file"), F.col("f.line").alias("line"), F.trim(said).alias("message"))
+
+
+def junit_totals(reports: DataFrame, body: str = "body") -> DataFrame:
+    """Per test report what its suites say in all: tests, failures, errors, skipped; attributes that are no number count 0."""
+    names = ("tests", "failures", "errors", "skipped")
+    attrs = ", ".join(f"_{n} string" for n in names)
+    x = _xml(None, body, f"testsuite array<struct<{attrs}>>, {attrs}")
+    suites = F.when(F.size(x["testsuite"]) > 0, x["testsuite"]).otherwise(F.array(F.struct(*[x[f"_{n}"].alias(f"_{n}") for n in names])))
+    total = lambda n: F.aggregate(suites, F.lit(0).cast("bigint"), lambda a, s: a + F.coalesce(s[f"_{n}"].try_cast("bigint"), F.lit(0)))
+    return reports.where(F.col(body).isNotNull()).select("report_id", *[total(n).alias(n) for n in names])
+
+
+def go_modules(reports: DataFrame, body: str = "body") -> DataFrame:
+    """Modules that a stream of JSON objects names: report_id, path, and how often."""
+    named = parse_json_lines(reports, lambda e: _text(e, "$.Path").isNotNull(), {"path": lambda e: _text(e, "$.Path")}, body)
+    return named.groupBy("report_id", "path").agg(F.count("*").alias("entries"))
+
+
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     **{n: (lambda df, f=f: parse_json(df, f)) for n, f in JSON_FORMATS.items()}, "go_test": parse_go_test, "flake8": parse_flake8, "checkstyle": parse_checkstyle, "junit": parse_junit,
     "gocyclo": lambda df: parse_lines(df, "cyclomatic"), "dupl": lambda df: parse_lines(df, "dup_block", 25), "stdout": lambda df: parse_lines(df, "stdout", 25), "clang_tidy": parse_clang_tidy,
     "dart_analyze": parse_dart, "cargo": parse_cargo, "govulncheck": parse_govulncheck, "npm_audit": parse_npm_audit, "cppcheck": parse_cppcheck, "phpcpd": parse_phpcpd, "trx": parse_trx,
+    "composer_audit": parse_composer_audit, "lizard": parse_lizard, "scalastyle": parse_checkstyle,
 }
 
 

@@ -5,7 +5,7 @@ from siltworks.operators import model as M
 from siltworks.operators.activation import group_plan
 from siltworks.sources.files import looks_binary, read_tree, with_text
 from siltworks.sources.inventories import lock_entries, npm_tree
-from siltworks.sources.reports import parse_reports
+from siltworks.sources.reports import junit_totals, parse_reports
 
 
 def test_trees(spark, tmp_path):
@@ -60,3 +60,19 @@ def test_more_report_formats(spark):
         (6, "error", "E1", "s.rs", 4, "m"), (7, "high", "GO-1", "", 0, "Go vulnerability reported."), (8, "high", "5", "p", 0, "t"), (8, "unknown", "9", "m", 0, "npm advisory"), (8, "unknown", "p", "q", 0, "npm vulnerability"),
         (9, "error", "u", "a.c", 2, "m"), (10, "info", "duplication", "a.php", 1, "duplicated block lines=9"), (10, "info", "duplication", "b.php", 5, "duplicated block lines=9"), (11, "error", "test_failure", "", 0, "T"),
     ]
+
+
+def test_complexity_reports(spark):
+    items = [("f(a, b) at .\\\\p\\\\x.py:7", 4, 9), ("g at p/y.py:2", 8, 9), ("odd name", 1, 30), ("short", 1, None)]
+    xml = '<cppncss><measure type="File"/><measure type="Function">' + "".join(f'<item name="{n}"><value>1</value><value>{s}</value>' + (f"<value>{c}</value>" if c else "") + "</item>" for n, s, c in items) + "</measure></cppncss>"
+    df = spark.createDataFrame([(1, "lizard", xml), (2, "lizard", "<cppncss>"), (3, "lizard", None)], "report_id int, format string, body string")
+    got = [tuple(r) for r in parse_reports(df).collect()]
+    assert got == [(1, "info", "complexity_hotspot", f, n, m) for f, n, m in (("", 0, "CCN=30 NCSS=1 odd name"), ("p/y.py", 2, "CCN=9 NCSS=8 g"), ("p//x.py", 7, "CCN=9 NCSS=4 f(a, b)"))]
+
+
+def test_totals_and_advisories(spark):
+    df = spark.createDataFrame([(1, '<testsuite tests="4" failures="1"/>'), (2, None), (3, "<testsuites><testsuite/></testsuites>")], "report_id int, body string")
+    assert sorted(tuple(r) for r in junit_totals(df).collect()) == [(1, 4, 1, 0, 0), (3, 0, 0, 0, 0)]
+    rows = [(1, "composer_audit", '{"advisories": {"p/q": [{"link": "u"}, 7], "n": []}}'), (2, "composer_audit", '{"advisories": []}'), (3, "composer_audit", '{"issues": [{"file": "a"}], "advisories": {"p": [{"id": "i"}]}}')]
+    got = sorted(tuple(r) for r in parse_reports(spark.createDataFrame(rows, "report_id int, format string, body string")).collect())
+    assert got == [(1, "high", "u", "p/q", 0, "Composer advisory"), (3, "unknown", "unknown", "a", 0, "Finding.")]
