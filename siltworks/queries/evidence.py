@@ -10,7 +10,7 @@ from siltworks.operators import evidence as E
 from siltworks.operators.findings import SEVERITY_RANKS, severity_rank, severity_word
 from siltworks.operators.signals import LANGUAGES, language
 from siltworks.queries.search import _BUILD, _F, _MIN, _SEG, _priority_sql
-from siltworks.session import table, widen
+from siltworks.session import table, widen_first
 
 #: tools by evidence class and language, and what a repository's own registry changes and adds
 SPECS = (("lint", "python", "stylewarden", 5), ("lint", "any", "tidyline", 3), ("sast", "any", "patternhound", 5), ("tests", "python", "casecount", 4), ("tests", "go", "gocases", 4), ("complexity", "any", "knotmeter", 2), ("dup", "javascript", "twinspot", 2))
@@ -30,7 +30,7 @@ def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per repository how many files a dump leaves out for what reason, and takes (kept)."""
-    f = widen(_files(spark, sf_dir).select("repo", "path", "content"))
+    f = widen_first(_files(spark, sf_dir).select("repo", "path", "content"))
     return f.select("repo", F.coalesce(E.skip_reason(F.col("path"), F.col("content")), F.lit("kept")).alias("reason")).groupBy("repo", "reason").agg(F.count("*").alias("files"))
 
 

@@ -12,7 +12,7 @@ from siltworks.operators.activation import group_plan
 from siltworks.operators.findings import severity_rank
 from siltworks.plans.predicate import activate
 from siltworks.queries.scoring import MODULE_RULES, _predicates_sql
-from siltworks.session import table, widen
+from siltworks.session import table, widen_first
 from siltworks.sources.inventories import lock_entries
 
 SCHEMA_QUERIES = ("retry", "cache", "limit", "test", "release")
@@ -42,7 +42,7 @@ def dependency_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def schema_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged windows of each document, within a budget."""
-    docs = widen(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = widen_first(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return S.schema_search(docs, "doc_id", "text", SCHEMA_QUERIES).withColumn("queries", F.array_join("queries", " ; "))
 
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from siltworks.functions.paths import plain
 from siltworks.sources import reports as R
-from siltworks.session import table
+from siltworks.session import table, widen_first
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "findings").select(F.col("finding_id").alias("report_id"), "severity", "rule_id", "file", "line", "message")
+    return widen_first(table(spark, sf_dir, "findings").select(F.col("finding_id").alias("report_id"), "severity", "rule_id", "file", "line", "message"))
 
 
 def report_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ FORMATS = (
 def report_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding as a report in one of twenty formats, all read in one go."""
     word = lambda c, keep: F.regexp_replace(F.coalesce(c, F.lit("")), f"[^{keep}]", "")
-    f = table(spark, sf_dir, "findings").select(
+    f = widen_first(table(spark, sf_dir, "findings").select("finding_id", "tool", "file", "line", "rule_id", "message", "severity")).select(
         F.col("finding_id").alias("report_id"), "tool", plain(F.col("file")).alias("f"), F.coalesce("line", F.lit(0)).alias("l"), F.concat(F.lit("R"), word(F.col("rule_id"), "A-Za-z0-9._-")).alias("r"),
         F.concat(F.lit("m"), F.trim(word(F.col("message"), "A-Za-z0-9 "))).alias("m"), F.concat(F.lit("s"), F.lower(word(F.col("severity"), "A-Za-z"))).alias("s"),
     )

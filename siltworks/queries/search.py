@@ -9,7 +9,7 @@ from siltworks.functions import paths as P
 from siltworks.functions import text as X
 from siltworks.operators import search as S
 from siltworks.operators import signals as G
-from siltworks.session import table, widen
+from siltworks.session import table, widen_first
 
 QUERIES = ("retry", "logger\\.", "eval(", "assert |raise ", "import .*worker", "TODO")
 GLOBS = ("src/**/*.py", "**/*.md", "deploy/*", "**/.env*", "config/*_[0-9]*.js", "docs/**", "cmd/?????.go")
@@ -35,7 +35,7 @@ def path_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     able = ~P.is_build_output(F.col("path")) & S.may_match(spark, F.col("content"), QUERIES)
-    files = widen(_files(spark, sf_dir).where(able)).where(~X.looks_minified(F.col("content")))
+    files = widen_first(_files(spark, sf_dir)).where(able).where(~X.looks_minified(F.col("content")))
     return S.occurrences(S.file_lines(files, "file_id", "content"), "file_id", QUERIES)
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[str] = []
 
@@ -107,3 +108,9 @@ def widen(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
+def widen_first(df: DataFrame) -> DataFrame:
+    """As `widen`, ahead of heavy filters and expressions: an observed count keeps the optimizer from moving them below the dealing out."""
+    wide = widen(df)
+    return df if wide is df else wide.observe(f"rows-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
