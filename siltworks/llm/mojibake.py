@@ -200,11 +200,14 @@ def undo_layer(text: str, legacy: bool = True) -> tuple[str, bool] | None:
     return (best[1], True) if best else None
 
 
-def repair(text: str, layers: int = 4, legacy: bool = True) -> tuple[str, int, bool]:
-    """A piece after all layers: the text, how many were undone, and whether nothing was lost."""
+def repair(text: str, legacy: bool = True) -> tuple[str, int, bool]:
+    """A piece after all layers, however many: the text, how many were undone, and whether nothing was lost.
+
+    Every layer lowers the cost, so there is an end.
+    """
     whole, n = True, 0
     out = text
-    while n < layers and _HIGH.search(out) and (step := undo_layer(out, legacy)):
+    while _HIGH.search(out) and (step := undo_layer(out, legacy)):
         out, n, whole = step[0], n + 1, whole and step[1]
         if not whole:
             break
