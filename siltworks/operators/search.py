@@ -47,7 +47,8 @@ def occurrences(numbered: DataFrame, key: str, queries: Sequence[str]) -> DataFr
 
 
 def windows(found: DataFrame, key: str, context: int = 3, distance: int = 10) -> DataFrame:
-    """Occurrences with context lines merged into windows: key, start, end, matches, queries (sorted), lines matched.
+    """Occurrences with context lines merged into windows: key, start, end, matches, queries (sorted), lines matched, and
+    the focus, the upper median of the lines matched.
 
     Two windows are one if the later starts at most `distance` lines after the end of all earlier ones. Windows
     stay within a file, whose lines bound the work of a task.
@@ -58,10 +59,27 @@ def windows(found: DataFrame, key: str, context: int = 3, distance: int = 10) ->
     marked = at.withColumn("new", F.when(before.isNull() | (F.col("start") > before + distance), 1).otherwise(0))
     island = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(key, "island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("matches"), F.array_sort(F.collect_set("query")).alias("queries"), F.count_distinct("line_no").alias("lines")
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("matches"), F.array_sort(F.collect_set("query")).alias("queries"), F.count_distinct("line_no").alias("lines"),
+        F.get(F.sort_array(F.collect_set("line_no")), F.floor(F.count_distinct("line_no") / 2).cast("int")).alias("focus"),
     )
 
 
+def cap_windows(found: DataFrame, sizes: DataFrame, key: str, most: int) -> DataFrame:
+    """Windows of at most so many lines: longer ones are centred on their focus, and moved back from the text's end.
+
+    `sizes` has each key's number of lines as `size`. With `most` of 0 or less nothing is capped.
+    """
+    w = found.join(sizes.select(key, "size"), key)
+    if most <= 0:
+        return w.drop("size")
+    long = F.col("end") - F.col("start") + 1 > most
+    begin = F.greatest(F.lit(1), F.col("focus") - most // 2)
+    over = begin + most - 1 > F.col("size")
+    start = F.when(over, F.greatest(F.lit(1), F.col("size") - most + 1)).otherwise(begin)
+    end = F.when(over, F.col("size")).otherwise(begin + most - 1)
+    return w.select(*[(F.when(long, {"start": start, "end": end}[c]).otherwise(F.col(c)) if c in ("start", "end") else F.col(c)).alias(c) for c in found.columns])
+
+
 def best_windows(found: DataFrame, group: Sequence[str], key: str, per_file: int, total: int) -> DataFrame:
     """Per group the best windows: most distinct queries, then matches, then key and start; quotas per file and in all."""
     order = [F.size("queries").desc(), F.desc("matches"), F.col(key), F.col("start")]

@@ -9,7 +9,7 @@ from siltworks.functions.paths import is_build_output, plain, read_priority, seg
 from siltworks.operators import evidence as E
 from siltworks.operators.findings import SEVERITY_RANKS, severity_rank, severity_word
 from siltworks.operators.signals import LANGUAGES, language
-from siltworks.queries.search import _BUILD, _F, _MIN, _SEG, _priority_sql
+from siltworks.queries.search import _BUILD, _F, _MIN, _SEG, HINT_SQL, MATCH_SQL, _priority_sql
 from siltworks.session import table, widen_first
 
 #: tools by evidence class and language, and what a repository's own registry changes and adds
@@ -135,10 +135,6 @@ def queries() -> dict:
 
 
 _PLAIN = "coalesce(ltrim(replace(path, '\\', '/'), './'), '')"
-_SAFE = r"regexp_replace(regexp_replace(replace(trim(hint_value), '\', '/'), '^(\./)+', ''), '^/+', '')"
-_HINT = rf"CASE WHEN {_SAFE} <> '' AND NOT regexp_matches({_SAFE}, '(^|/)\.\.(/|$)') THEN {_SAFE} END"
-_TAIL = r"'(^|/)' || replace(regexp_replace(regexp_replace(hint, '([.+^$(){}|\[\]\\])', '\\\1', 'g'), '\*+', '[^/]*', 'g'), '?', '[^/]') || '$'"
-_MATCH = f"""CASE WHEN hint_type = 'path' AND p = hint THEN 'equal' WHEN hint_type = 'path' AND starts_with(p, rtrim(hint, '/') || '/') THEN 'below' WHEN hint_type = 'glob' AND regexp_matches(p, {_TAIL}) THEN 'glob' END"""
 _EXT = r"regexp_extract(lower(path), '(\.[^./]+)$', 1)"
 _LANG = f"CASE {_EXT} " + " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in LANGUAGES.items()) + " END"
 _LANGS = f"SELECT DISTINCT repo, {_LANG} AS lang FROM f WHERE {_LANG} IS NOT NULL AND repo IS NOT NULL"
@@ -163,8 +159,8 @@ def oracle_sql() -> dict:
         "dump_manifest": "SELECT repo, count(*) AS files, sum(coalesce(length(content), 0))::BIGINT AS chars, count(*) FILTER (length(content) > 8000) AS truncated, sum(least(coalesce(length(content), 0), 8000))::BIGINT AS included FROM loaded_files GROUP BY repo",
         "manifest_files": f"""WITH {_F}, m AS (SELECT repo, path, regexp_extract(path, '[^/]*$', 0) AS name, len({_SEG})::INT AS depth FROM f WHERE repo IS NOT NULL), k AS (SELECT * FROM m WHERE name IN ({names})),
             r AS (SELECT *, row_number() OVER (PARTITION BY repo, name ORDER BY depth, path) AS n, count(*) OVER (PARTITION BY repo, name) AS c FROM (SELECT DISTINCT * FROM k)) SELECT repo, name, path, depth, c AS paths FROM r WHERE n = 1""",
-        "hint_matches": f"WITH h AS (SELECT file_id, hint_type, {_PLAIN} AS p, {_HINT} AS hint FROM loaded_files) SELECT file_id, hint, coalesce({_MATCH}, 'none') AS match FROM h",
-        "retrieval_hints": f"WITH h AS (SELECT repo, group_id, hint_type, {_HINT} AS hint, hint_priority FROM loaded_files WHERE group_id IS NOT NULL AND hint_type IN ('path', 'glob')) SELECT repo, group_id, hint_type, hint, coalesce(max(hint_priority), 0) AS priority, count(*) AS files FROM h WHERE hint IS NOT NULL GROUP BY ALL",
+        "hint_matches": f"WITH h AS (SELECT file_id, hint_type, {_PLAIN} AS p, {HINT_SQL} AS hint FROM loaded_files) SELECT file_id, hint, coalesce({MATCH_SQL}, 'none') AS match FROM h",
+        "retrieval_hints": f"WITH h AS (SELECT repo, group_id, hint_type, {HINT_SQL} AS hint, hint_priority FROM loaded_files WHERE group_id IS NOT NULL AND hint_type IN ('path', 'glob')) SELECT repo, group_id, hint_type, hint, coalesce(max(hint_priority), 0) AS priority, count(*) AS files FROM h WHERE hint IS NOT NULL GROUP BY ALL",
         "tool_candidates": f"""WITH {_F}, l AS ({_LANGS}), w AS (SELECT repo, lang, 1 AS own FROM l UNION ALL SELECT DISTINCT repo, 'any', 0 FROM l), b AS (SELECT * FROM (VALUES {_values(SPECS)}) AS v(ec, lang, tool, pr)), c AS (SELECT * FROM (VALUES {_values(PATCH)}) AS v(ec, lang, tool, pr)),
             s AS (SELECT coalesce(c.ec, b.ec) AS ec, coalesce(c.lang, b.lang) AS lang, coalesce(c.tool, b.tool) AS tool, coalesce(c.pr, b.pr, 0) AS pr FROM b FULL JOIN c ON c.ec = b.ec AND c.lang = b.lang AND c.tool = b.tool),
             m AS (SELECT repo, ec, tool, pr, own, row_number() OVER (PARTITION BY repo, ec, tool ORDER BY pr DESC NULLS LAST, own DESC) AS k FROM w JOIN s ON s.lang = w.lang)
@@ -179,8 +175,8 @@ def oracle_sql() -> dict:
         "baseline_scores": f"""WITH l AS (SELECT result_id, i - 1 AS pos, leaf_results[i] AS r FROM (SELECT result_id, leaf_results, unnest(range(1, len(leaf_results) + 1)) AS i FROM group_results))
             SELECT result_id, pos::INT AS pos, CASE WHEN r.status = 'tool_failed' THEN 'insufficient_evidence' ELSE r.status END AS status, CASE WHEN r.status = 'scored' AND r.score IS NOT NULL THEN greatest(0, least(5, round_even(r.score, 0)))::DOUBLE END AS score,
               {clean('citations')} AS citations, {clean('remediation')} AS remediation FROM l WHERE r IS NOT NULL""",
-        "evidence_bundles": f"""WITH f0 AS (SELECT file_id, repo, group_id, hint_type, hint_priority, {_PLAIN} AS p, {_PLAIN} AS path, {_HINT} AS hint FROM loaded_files WHERE repo IS NOT NULL), f AS (SELECT * FROM f0),
-            m AS (SELECT *, row_number() OVER (PARTITION BY repo, group_id ORDER BY hint_priority DESC NULLS LAST, path, file_id) AS n FROM f WHERE group_id IS NOT NULL AND {_MATCH} IS NOT NULL), g AS (SELECT DISTINCT repo, group_id FROM f WHERE group_id IS NOT NULL), l AS ({_LANGS}),
+        "evidence_bundles": f"""WITH f0 AS (SELECT file_id, repo, group_id, hint_type, hint_priority, {_PLAIN} AS p, {_PLAIN} AS path, {HINT_SQL} AS hint FROM loaded_files WHERE repo IS NOT NULL), f AS (SELECT * FROM f0),
+            m AS (SELECT *, row_number() OVER (PARTITION BY repo, group_id ORDER BY hint_priority DESC NULLS LAST, path, file_id) AS n FROM f WHERE group_id IS NOT NULL AND {MATCH_SQL} IS NOT NULL), g AS (SELECT DISTINCT repo, group_id FROM f WHERE group_id IS NOT NULL), l AS ({_LANGS}),
             e AS (SELECT repo, group_id, 'file_match' AS strategy, count(*) AS items FROM m WHERE n <= 20 GROUP BY ALL UNION ALL SELECT g.repo, g.group_id, 'dynamic_tool', count(DISTINCT t.evidence_class) FROM g JOIN tool_results t ON t.repo = g.repo AND t.status = 'completed' GROUP BY ALL
               UNION ALL SELECT g.repo, g.group_id, 'repo_scan', count(DISTINCT l.lang) FROM g JOIN l ON l.repo = g.repo GROUP BY ALL)
             SELECT g.repo, g.group_id, s.strategy, coalesce(e.items, 0) AS items FROM g JOIN (VALUES {_values(STEPS)}) AS s(group_id, strategy) ON s.group_id = g.group_id LEFT JOIN e ON e.repo = g.repo AND e.group_id = g.group_id AND e.strategy = s.strategy""",

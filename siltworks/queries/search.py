@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions import paths as P
 from siltworks.functions import text as X
+from siltworks.operators import evidence as E
 from siltworks.operators import search as S
 from siltworks.operators import signals as G
 from siltworks.session import table, widen_first
@@ -44,7 +45,18 @@ def code_search_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_search_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.windows(_found(spark, sf_dir), "file_id").withColumn("queries", F.array_join("queries", " ; "))
+    return S.windows(_found(spark, sf_dir), "file_id").withColumn("queries", F.array_join("queries", " ; ")).drop("focus")
+
+
+def code_search_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best windows of every repository, none above 12 lines: by distinct queries, then files that their own hint
+    asks for, matches, path from the end, and start."""
+    files = table(spark, sf_dir, "loaded_files").select("file_id", "repo", P.plain(F.col("path")).alias("path"), "hint_type", E.safe_path(F.col("hint_value")).alias("hint"), F.size(X.lines(F.col("content"))).alias("size"))
+    w = S.cap_windows(S.windows(_found(spark, sf_dir), "file_id"), files, "file_id", 12)
+    w = w.join(files.select("file_id", "repo", "path", E.hint_match(F.col("path"), F.col("hint_type"), F.col("hint")).isNotNull().alias("hinted")), "file_id")
+    order = [F.size("queries").desc(), F.desc("hinted"), F.desc("matches"), F.desc("path"), F.col("start"), F.col("file_id")]
+    best = w.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy(*order))).where("place <= 20")
+    return best.select("repo", "file_id", "start", "end", "focus", "matches", "hinted", "place")
 
 
 def code_search_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,8 +129,14 @@ _ISLANDS = """, a AS (SELECT *, greatest(1, line_no - 3) AS s, line_no + 3 AS e
   w AS (SELECT file_id, any_value(repo) AS repo, island, min(s) AS start, max(e) AS "end", count(*) AS matches, list_sort(list(DISTINCT query)) AS qs, count(DISTINCT line_no) AS lines FROM c GROUP BY file_id, island)"""
 
 
+_SAFE = r"regexp_replace(regexp_replace(replace(trim(hint_value), '\', '/'), '^(\./)+', ''), '^/+', '')"
+HINT_SQL = rf"CASE WHEN {_SAFE} <> '' AND NOT regexp_matches({_SAFE}, '(^|/)\.\.(/|$)') THEN {_SAFE} END"
+_TAIL = r"'(^|/)' || replace(regexp_replace(regexp_replace(hint, '([.+^$(){}|\[\]\\])', '\\\1', 'g'), '\*+', '[^/]*', 'g'), '?', '[^/]') || '$'"
+MATCH_SQL = f"""CASE WHEN hint_type = 'path' AND p = hint THEN 'equal' WHEN hint_type = 'path' AND starts_with(p, rtrim(hint, '/') || '/') THEN 'below' WHEN hint_type = 'glob' AND regexp_matches(p, {_TAIL}) THEN 'glob' END"""
+
+
 def queries() -> dict:
-    names = (minified_filter, path_filter, path_priority, code_search_occurrences, code_search_islands, code_search_selected, dump_prefix, glob_coverage, snippet_dedupe, signals_by_repo, version_pick, citation_overlaps)
+    names = (minified_filter, path_filter, path_priority, code_search_occurrences, code_search_islands, code_search_selected, code_search_capped, dump_prefix, glob_coverage, snippet_dedupe, signals_by_repo, version_pick, citation_overlaps)
     return {q.__name__: q for q in names}
 
 
@@ -137,6 +155,13 @@ def oracle_sql() -> dict:
         "code_search_selected": _occurrence_sql() + _ISLANDS + """, p AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY len(qs) DESC, matches DESC, start) AS n FROM w),
             t AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY len(qs) DESC, matches DESC, file_id, start) AS place FROM p WHERE n <= 3)
             SELECT repo, file_id, start, "end", matches, array_to_string(qs, ' ; ') AS queries, place FROM t WHERE place <= 20""",
+        "code_search_capped": _occurrence_sql() + _ISLANDS + rf""", z AS (SELECT file_id, island, list_sort(list(DISTINCT line_no)) AS ms FROM c GROUP BY file_id, island),
+            x AS (SELECT w.*, z.ms[len(z.ms) // 2 + 1] AS focus, len(n.ls)::INT AS size, n.path AS p FROM w JOIN z ON z.file_id = w.file_id AND z.island = w.island JOIN n ON n.file_id = w.file_id),
+            y AS (SELECT *, greatest(1, focus - 6) AS bg FROM x), k AS (SELECT file_id, repo, qs, matches, focus, p,
+              CASE WHEN "end" - start + 1 <= 12 THEN start WHEN bg + 11 > size THEN greatest(1, size - 11) ELSE bg END AS start, CASE WHEN "end" - start + 1 <= 12 THEN "end" WHEN bg + 11 > size THEN size ELSE bg + 11 END AS "end" FROM y),
+            h AS (SELECT file_id, hint_type, {HINT_SQL} AS hint FROM loaded_files), j AS (SELECT k.*, {MATCH_SQL} IS NOT NULL AS hinted FROM k JOIN h ON h.file_id = k.file_id),
+            t AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY len(qs) DESC, hinted DESC, matches DESC, p DESC, start, file_id) AS place FROM j)
+            SELECT repo, file_id, start::INT AS start, "end"::INT AS "end", focus, matches, hinted, place FROM t WHERE place <= 20""",
         "dump_prefix": f"""WITH {_F}, p AS (SELECT repo, file_id, path, {_priority_sql()} AS priority, len({_SEG})::INT AS depth, coalesce(length(content), 0)::INT AS chars FROM f WHERE NOT {_BUILD}),
             r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY priority, depth, path, file_id) AS place FROM p), u AS (SELECT *, sum(chars) OVER (PARTITION BY repo ORDER BY place)::BIGINT AS upto FROM r WHERE place <= 180) SELECT * FROM u WHERE upto <= 60000""",
         "glob_coverage": f"""WITH {_F}, g AS (SELECT * FROM (VALUES {globs}) AS v(pattern, pat)), h AS (SELECT repo, pattern, count(DISTINCT path) AS matches, min(path) AS first FROM f, g WHERE regexp_matches(path, pat) GROUP BY 1, 2)
