@@ -105,20 +105,39 @@ def glob_coverage(files: DataFrame, group: str, path: str, globs: Sequence[str])
     return every.join(found, [group, "pattern"], "left").fillna(0, ["matches"])
 
 
+def _running(points: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """Sums of points (keys, at and counts) up to each place (`name`) and before it (`name_before`).
+
+    Points are summed by place first, on the map side, so a window holds the places of its key and not its rows.
+    """
+    by = points.groupBy(*keys, "at").agg(*[F.sum(F.col(c).cast("bigint")).alias(c) for c in sums])
+    upto = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return by.select(*keys, "at", *[F.sum(c).over(upto).alias(c) for c in sums], *[(F.sum(c).over(upto) - F.col(c)).alias(f"{c}_before") for c in sums])
+
+
+def _at(rows: DataFrame, running: DataFrame, keys: Sequence[str], place: str, column: str, name: str) -> DataFrame:
+    """The rows with a running sum at the place that one of their columns names, null keys being equal."""
+    r = running.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("at").alias("__at"), F.col(column).alias(name))
+    same = F.col(place) == F.col("__at")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.join(r, same).drop("__at", *[f"__{k}" for k in keys])
+
+
 def findings_in_citations(citations: DataFrame, findings: DataFrame) -> DataFrame:
     """Per citation `path:from-to` of a repository how many findings lie in its lines, and in how many lines.
 
     Findings are counted per line; running sums over the lines and the citations' ends of a file give each citation
     the difference of two sums, so no citation meets the lines of its file one by one. Citations without any are left out.
     """
+    keys = ["repo", "path"]
     c = citation_intervals(citations)
-    lines_ = findings.where("line IS NOT NULL").groupBy("repo", "path", F.col("line").alias("at")).agg(F.count("*").alias("n")).withColumns({"kind": F.lit(1), "citation": F.lit(None).cast("string")})
-    end = lambda pos, kind: F.struct(F.col(pos).alias("at"), F.lit(kind).alias("kind"))
-    ends = c.select("repo", "path", "citation", F.explode(F.array(end("low", 0), end("high", 2))).alias("e")).select("repo", "path", "citation", "e.*").withColumn("n", F.lit(0).cast("bigint"))
-    upto = Window.partitionBy("repo", "path").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = ends.unionByName(lines_).withColumns({"found": F.sum("n").over(upto), "held": F.sum((F.col("kind") == 1).cast("bigint")).over(upto)})
-    between = lambda v: F.max(F.when(F.col("kind") == 2, F.col(v))) - F.max(F.when(F.col("kind") == 0, F.col(v)))
-    return run.where("citation IS NOT NULL").groupBy("repo", "citation").agg(between("found").alias("findings"), between("held").alias("lines")).where("findings > 0")
+    found = findings.where("line IS NOT NULL").groupBy(*keys, F.col("line").alias("at")).agg(F.count("*").alias("n")).withColumn("held", F.lit(1))
+    ends = c.select(*keys, F.explode(F.array("low", "high")).alias("at")).withColumns({"n": F.lit(0).cast("bigint"), "held": F.lit(0)})
+    run = _running(found.unionByName(ends), keys, ["n", "held"])
+    for place, column, name in (("high", "n", "a"), ("high", "held", "b"), ("low", "n_before", "x"), ("low", "held_before", "y")):
+        c = _at(c, run, keys, place, column, name)
+    return c.select("repo", "citation", (F.col("a") - F.col("x")).alias("findings"), (F.col("b") - F.col("y")).alias("lines")).where("findings > 0")
 
 
 def citation_intervals(citations: DataFrame) -> DataFrame:
@@ -131,16 +150,15 @@ def citation_intervals(citations: DataFrame) -> DataFrame:
 def overlap_counts(intervals: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Per closed interval [low, high] how many of its key's intervals, itself included, share a point with it.
 
-    Those that begin by its end, less those that end before its beginning: two running sums over the sorted ends,
-    so the work grows with the intervals and not with their pairs. An interval that ends before it begins counts
-    as one that begins and ends at `low`.
+    Those that begin by its end, less those that end before its beginning: running sums over the distinct places of a
+    key, so the work grows with the intervals and not with their pairs, and a key of many intervals is many rows of
+    the joins and few of the window. An interval that ends before it begins counts as one that begins and ends at `low`.
     """
-    i = intervals.withColumn("high", F.greatest("low", "high"))
-    at = lambda pos, kind: F.struct(F.col(pos).alias("at"), F.lit(kind).alias("kind"))
-    ends = i.select(*keys, name, F.explode(F.array(at("low", 0), at("low", 1), at("high", 2), at("high", 3))).alias("e")).select(*keys, name, "e.*")
-    upto = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = ends.withColumns({"begun": F.sum((F.col("kind") == 1).cast("bigint")).over(upto), "ended": F.sum((F.col("kind") == 3).cast("bigint")).over(upto)})
-    return run.groupBy(*keys, name).agg((F.max(F.when(F.col("kind") == 2, F.col("begun"))) - F.max(F.when(F.col("kind") == 0, F.col("ended")))).alias("overlaps"))
+    i = intervals.withColumn("high", F.greatest("low", "high")).select(*keys, name, "low", "high")
+    point = lambda c, begun: i.select(*keys, F.col(c).alias("at"), F.lit(begun).alias("begun"), F.lit(1 - begun).alias("ended"))
+    run = _running(point("low", 1).unionByName(point("high", 0)), keys, ["begun", "ended"])
+    both = _at(_at(i, run, keys, "high", "begun", "__begun"), run, keys, "low", "ended_before", "__ended")
+    return both.select(*keys, name, (F.col("__begun") - F.col("__ended")).alias("overlaps"))
 
 
 def schema_search(docs: DataFrame, key: str, text: str, queries: Sequence[str], context: int = 2, per_query: int = 20, most: int = 25, most_chars: int = 2_000) -> DataFrame:
