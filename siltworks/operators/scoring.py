@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.operators.ranking import with_place
 from siltworks.operators.rollup import clamp
 
 #: What each subscore and each counted fault weighs, and the verdict from each score up.
@@ -90,4 +91,4 @@ def clean_hints(hints: DataFrame, keys: Sequence[str], kind: str, value: str, pr
     """
     h = hints.select(*keys, F.lower(F.trim(kind)).alias("kind"), F.trim(value).alias("value"), F.coalesce(clamp(F.col(priority), 1, 10), F.lit(5)).cast("int").alias("priority"))
     h = h.where(F.col("kind").isin("path", "glob", "component", "keyword") & (F.col("value") != "")).groupBy(*keys, "kind", "value").agg(F.max("priority").alias("priority"))
-    return h.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("priority"), "kind", "value")))
+    return with_place(h, keys, [F.desc("priority"), F.col("kind"), F.col("value")])

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from siltworks.functions import paths as P
 from siltworks.functions import text as X
+from siltworks.operators import evidence as E
 from siltworks.operators import rollup as R
 from siltworks.operators import scoring as S
 from siltworks.operators import search as Q
 from siltworks.operators import signals as G
 from siltworks.operators import tools as T
+from siltworks.operators.ranking import with_place
 from siltworks.plans.predicate import BadPredicate, compile_predicate
 from siltworks.sources.reports import parse_reports
 
@@ -173,3 +175,49 @@ def test_schema_search_all_reads_every_source(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in schema_search_all(spark, str(tmp_path)).select("doc_id", "place", "start", "end", "matches", "queries", "chars").collect())
     assert got == [(i, 1, 2, 6, 1, "retry", 13) for i in range(5)]
+
+
+def test_places_across_ranges(spark):
+    rows = [("hot", i * 7919 % 5000) for i in range(5000)] + [("a", 3), ("a", 1), (None, 2), (None, 1)]
+    df = spark.createDataFrame(rows, "k string, v int").withColumn("place", F.lit("old"))
+    got = with_place(df, ["k"], [F.desc("v")]).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["k"], {})[r["place"]] = r["v"]
+    assert by["hot"] == {i + 1: 4999 - i for i in range(5000)} and by["a"] == {1: 3, 2: 1} and by[None] == {1: 2, 2: 1}
+    assert with_place(df.where("false"), ["k"], [F.col("v")]).count() == 0
+
+
+@pytest.mark.parametrize("value, want", [("./a\\b.py", "a/b.py"), ("/x", "x"), ("../up", None), ("a/../../b", None), ("a..b", "a..b"), ("  ", None), (None, None), ("./", None)])
+def test_safe_paths(spark, value, want):
+    assert one(spark, E.safe_path(F.col("x")), "x string", (value,)) == [want]
+
+
+def test_hints_and_skips(spark):
+    rows = [("path", "src", "src/a.py"), ("path", "src/a.py", "src/a.py"), ("path", "sr", "src/a.py"), ("glob", "src/*.py", "x/src/a.py"), ("glob", "*.p?", "d/e/f.py"), ("glob", "src/*", "src/d/a.py"), ("glob", "a+(b", "a+(b"), (None, "a", "a"), ("path", None, "a")]
+    df = spark.createDataFrame(rows, "k string, h string, p string")
+    assert [r[0] for r in df.select(E.hint_match(F.col("p"), F.col("k"), F.col("h"))).collect()] == ["below", "equal", None, "glob", "glob", None, "glob", None, None]
+    files = spark.createDataFrame([("", "x"), ("css/a.txt", "x"), ("css", "x"), ("own/x.py", "  \n"), ("own/x.py", None), ("own/x.py", "y" * 3000), ("own/x.py", "z")], "p string, t string")
+    assert [r[0] for r in files.select(E.skip_reason(F.col("p"), F.col("t"))).collect()] == ["generated_path", "generated_path", None, "empty", "empty", "minified_or_generated_content", None]
+
+
+def test_objects_in_answers(spark):
+    said = ['```json\n{"a": 1}\n```', 'so {"a": {"b": 2}} it is', '{"a": ', "none", None, "", "[1]", '```\n[1]\n```']
+    got = one(spark, E.first_object(F.col("x")), "x string", *[(s,) for s in said])
+    assert got == ['{"a":1}', '{"a":{"b":2}}', None, None, None, None, None, None]
+
+
+def test_patches_and_cut_dumps(spark):
+    ddl = "k string, a int, b string"
+    got = E.patched(spark.createDataFrame([("x", 1, "p"), ("y", 2, "q")], ddl), spark.createDataFrame([("x", None, "r"), ("z", 3, None)], ddl), ["k"])
+    assert sorted(tuple(r) for r in got.collect()) == [("x", 1, "r"), ("y", 2, "q"), ("z", 3, None)]
+    df = spark.createDataFrame([("g", 1, 40), ("g", 2, 70), ("g", 3, 5), (None, 1, 200)], "g string, i int, n int")
+    assert sorted((r["g"] or "", r["i"], r["taken"]) for r in E.dump_cut(df, ["g"], [F.col("i")], "n", 10, 100).collect()) == [("", 1, 100), ("g", 1, 40), ("g", 2, 60)]
+
+
+def test_capped_windows(spark):
+    rows = [("f", 1, 5, 3), ("f", 10, 40, 30), ("f", 80, 99, 98)]
+    df = spark.createDataFrame(rows, "k string, start int, `end` int, focus int")
+    sizes = spark.createDataFrame([("f", 99)], "k string, size int")
+    assert sorted(tuple(r) for r in Q.cap_windows(df, sizes, "k", 12).collect()) == [("f", 1, 5, 3), ("f", 24, 35, 30), ("f", 88, 99, 98)]
+    assert Q.cap_windows(df, sizes, "k", 0).count() == 3
