@@ -39,7 +39,7 @@ class Plan:
     even_lift: float = 2.5
     even_sigmas: float = 3.0
     #: buckets of neighbouring words by which anchors are told apart, and neighbours counted at a time in a long text
-    contexts: int = 4096
+    contexts: int = 1024
     window: int = 256
     passes: int = 4
     #: rounds over a document's proportions, in a pass and in the final reading
