@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,17 +136,21 @@ def choose_vocabulary(docs: DataFrame, labels: DataFrame, plan: Plan, background
 
 def count_vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """doc_id, number of words, and the vocabulary's terms in it with their counts; every document has its row."""
-    at = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = at.value
+        of: pa.Array | None = None
         for batch in batches:
-            terms, counts = [], []
-            for ws, ns in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                known = [(i, n) for w, n in zip(ws, ns, strict=True) if (i := index.get(w)) is not None]
-                terms.append([i for i, _ in known])
-                counts.append([n for _, n in known])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "size", "terms", "counts"])
+            lists, counts = batch.column(2), batch.column(3).flatten()
+            held = lists.flatten()
+            of = pa.array(known.value, held.type) if of is None else of
+            term = pc.index_in(held, value_set=of)
+            keep = term.is_valid()
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            sizes = np.bincount(row[keep.to_numpy(zero_copy_only=False)], minlength=batch.num_rows)
+            begins = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+            columns = [batch.column(0), batch.column(1), *[pa.ListArray.from_arrays(begins, x.filter(keep)) for x in (term, counts)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "terms", "counts"])
 
     return stored(docs.mapInArrow(look_up, "doc_id bigint, size bigint, terms array<int>, counts array<int>"), "counts")
 
